@@ -80,3 +80,9 @@ def text_or_empty(name: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """Words of ``text`` in order; an empty array for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATOR_PATTERN), lambda w: w != "")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row: as a lambda's variable it can't be inlined where it is used,
+    which inside another lambda would compute it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

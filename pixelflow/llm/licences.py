@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelflow.llm.common import words_of
+from pixelflow.llm.common import let, words_of
 
 BANDS, WORDS, CONTAINED = 8, 5, 0.8
 IGNORED = ".,;:()\"'`"
@@ -40,14 +40,10 @@ def _words(text: Column) -> Column:
     return F.filter(words_of(F.translate(F.translate(text, UPPER, LOWER), IGNORED, "")), lambda w: w != "")
 
 
-def _shingles(words: Column, n: Column) -> Column:
-    """Hash of the shingle at every word that begins one."""
-    hashed = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WORDS))))
-    return F.when(n >= WORDS, hashed).otherwise(F.array().cast("array<bigint>"))
-
-
-def _with_shingles(rows: DataFrame, text_col: str) -> DataFrame:
-    return rows.withColumn("_w", _words(F.col(text_col))).withColumn("_n", F.size("_w")).withColumn("h", _shingles(F.col("_w"), F.col("_n"))).drop("_w", "_n")
+def _shingles(text: Column) -> Column:
+    """Hash of the shingle at every word that begins one, in order."""
+    at = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WORDS))))
+    return let(_words(text), lambda w: F.when(F.size(w) >= WORDS, at(w)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _seeds() -> list[int]:
@@ -63,7 +59,7 @@ SEEDS = _seeds()
 
 def prepared(spark, templates: dict[str, str]) -> list[tuple]:
     """(name, shingles, minima by band) of each template that is long enough; hashed by the same expressions as the texts."""
-    rows = _with_shingles(spark.createDataFrame(sorted(templates.items()), "name string, text string"), "text").collect()
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _shingles(F.col("text")).alias("h")).collect()
     return [(r["name"], list(r["h"]), [min(x ^ s for x in r["h"]) for s in SEEDS]) for r in rows if r["h"]]
 
 
@@ -77,7 +73,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         for x in sorted({m ^ s for m, s in zip(low, SEEDS)} | (set(h) if len(h) < 4 else set())):
             anchors += [(x, t, o, len(h), max(1, len(h) // 4)) for o, y in enumerate(h) if y == x]
     rare = sorted({a[0] for a in anchors})
-    rows = _with_shingles(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col)
+    rows = docs.select(F.col(id_col), _shingles(F.col(text_col)).alias("h"))
     rows = rows.filter(F.exists("h", lambda x: x.isin(rare)))
     at = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(rare))
     around = F.broadcast(spark.createDataFrame(anchors, "x long, t int, o int, len int, stride int"))

@@ -65,7 +65,7 @@ def shingles(text: str | None) -> np.ndarray:
     w = _mix(np.add.reduceat(_BYTE[_FOLD[raw[inside]]] * powers[place], first))
     n = len(w)
     if n < WORDS:
-        return _mix((w * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + _PLACE[WORDS] * np.uint64(n))
+        return _mix((w * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + _PLACE[WORDS:] * np.uint64(n))
     s = w[: n - WORDS + 1] * _PLACE[0]
     for k in range(1, WORDS):
         s = s + w[k : n - WORDS + 1 + k] * _PLACE[k]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelflow.llm.common import materialize, words_of
+from pixelflow.llm.common import let, materialize, words_of
 
 SYMBOLS = "#*$%&|<>"
 LEAST = 50  # documents from which a group has its own thresholds
@@ -24,43 +24,37 @@ METRICS = {"symbols_pm": (False, True, 60), "dup_lines_pm": (False, True, 200),
 MAX_BROADCAST_GROUPS = 200_000
 
 
-def base_metrics(text: Column, words: str = "_words") -> list[tuple[str, Column]]:
-    """Columns in order; later ones use earlier ones."""
-    w, n = F.col(words), F.col("n_words").cast("int")
+def _repeated(windows: Column) -> Column:
+    """Words covered by three-word windows whose hash occurs twice: ``windows`` is sorted by hash, then place."""
+    same = lambda a, b: F.coalesce(F.get(windows, a)["h"] == F.get(windows, b)["h"], F.lit(False))
+    twin = F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
+    starts = F.sort_array(F.transform(twin, lambda k: F.get(windows, k)["i"]))
+    step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
+    return F.aggregate(starts, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n")), step)["n"]
+
+
+def base_metrics(text: Column) -> Column:
+    """Struct of the base metrics, all whole numbers."""
     body = F.coalesce(text, F.lit(""))
+    chars = F.length(F.translate(body, " \t\n\x0b\x0c\r", ""))
+    symbols = F.length(body) - F.length(F.translate(body, SYMBOLS, ""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    s, m = F.col("_windows"), F.size("_windows")
-    same = lambda a, b: F.get(s, a)["h"] == F.get(s, b)["h"]
-    found = F.filter(F.sequence(F.lit(0), m - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-    starts = F.sort_array(F.transform(found, lambda k: F.get(s, k)["i"]))
-    step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
-    return [
-        (words, words_of(text)),
-        ("n_words", F.size(w).cast("long")),
-        ("word_chars", F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long")),
-        ("n_symbols", (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long")),
-        ("_lines", lines),
-        ("n_lines", F.size("_lines").cast("long")),
-        ("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")),
-        ("_windows", F.when(n >= 3, F.sort_array(hashes)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))),
-        ("_starts", F.when(m >= 2, starts).otherwise(F.array().cast("array<int>"))),
-        ("n_repeat_words", F.aggregate("_starts", F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n")), step)["n"].cast("long")),
-    ]
+    windows = lambda w: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+    repeats = lambda w: F.when(F.size(w) > 3, let(windows(w), _repeated)).otherwise(F.lit(0))
+    word_part = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeats(w).alias("r")))
+    line_part = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+    return F.struct(*(c.cast("long").alias(n) for n, c in (("word_chars", chars), ("n_symbols", symbols))), word_part.alias("words"), line_part.alias("lines"))
 
 
 def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the base metrics, base_failed and the scaled metrics that the sketches take."""
-    out = docs
-    for name, value in base_metrics(F.col(text_col)):
-        out = out.withColumn(name, value)
+    m = F.col("_m")
+    out = docs.withColumn("_m", base_metrics(F.col(text_col)))
+    out = out.withColumns({"n_words": m["words"]["n"].cast("long"), "word_chars": m["word_chars"], "n_symbols": m["n_symbols"], "n_lines": m["lines"]["n"].cast("long"), "n_dup_lines": m["lines"]["d"].cast("long"), "n_repeat_words": m["words"]["r"].cast("long")}).drop("_m")
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
-    scaled = {"symbols_pm": F.expr("n_symbols * 1000"), "dup_lines_pm": F.expr("n_dup_lines * 1000"), "repeats_pm": F.expr("n_repeat_words * 1000"), "word_length_x10": F.expr("word_chars * 10")}
-    over = {"symbols_pm": chars, "dup_lines_pm": lines, "repeats_pm": words, "word_length_x10": words}
-    for name, value in scaled.items():
-        out = out.withColumn(name, F.floor(value / over[name]).cast("long"))
+    scaled = {"symbols_pm": ("n_symbols", 1000, chars), "dup_lines_pm": ("n_dup_lines", 1000, lines), "repeats_pm": ("n_repeat_words", 1000, words), "word_length_x10": ("word_chars", 10, words)}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_starts")
+    return out.withColumns({n: F.floor(F.col(c) * k / d).cast("long") for n, (c, k, d) in scaled.items()}).withColumn("base_failed", failed)
 
 
 def bucket(v: Column) -> Column:

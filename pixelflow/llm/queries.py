@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     names = " OR ".join(f"host = '{n}.{e}' OR ends_with(host, '.{n}.{e}')" for n in LISTED_NAMES for e in LISTED_ENDS)
-    return {"op7_url_filter": OP7.replace("$LISTED", names)}
+    return {"op7_url_filter": OP7.replace("$LISTED", names), "op3_quality_rules": OP3}
 
 
 OP7 = """
@@ -102,3 +102,37 @@ SELECT page_id, host, path, rule, CASE
     WHEN $LISTED THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS body, lang, source FROM documents),
+w AS (SELECT k, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(body, chr(10)), lambda x: translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') AS l FROM d),
+t AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT k, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+s AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM t) WHERE n > 1),
+c AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM s) GROUP BY k),
+m AS (SELECT d.doc_id, d.lang, d.source, CAST(len(w.w) AS BIGINT) AS n_words,
+        CAST(length(translate(body, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
+        CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(len(w.l) AS BIGINT) AS n_lines, CAST(len(w.l) - len(list_distinct(w.l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d JOIN w USING (k) LEFT JOIN c USING (k)),
+x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        n_symbols * 1000 // greatest(word_chars, 1) AS symbols_pm, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines_pm,
+        n_repeat_words * 1000 // greatest(n_words, 1) AS repeats_pm, word_chars * 10 // greatest(n_words, 1) AS word_length_x10 FROM m),
+v AS (SELECT lang, source, unnest([{'m': 'symbols_pm', 'v': symbols_pm}, {'m': 'dup_lines_pm', 'v': dup_lines_pm}, {'m': 'repeats_pm', 'v': repeats_pm}, {'m': 'word_length_x10', 'v': word_length_x10}]) AS p FROM x WHERE NOT base_failed),
+b AS (SELECT lang, source, p.m AS m, CASE WHEN p.v < 32 THEN p.v ELSE (length(bin(p.v)) - 5) * 16 + (p.v >> (length(bin(p.v)) - 5)) END AS b FROM v),
+h AS (SELECT 0 AS z, lang, source, m, b, count(*) AS n FROM b GROUP BY ALL
+      UNION ALL SELECT 1, lang, NULL, m, b, count(*) FROM b GROUP BY ALL
+      UNION ALL SELECT 2, NULL, NULL, m, b, count(*) FROM b GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY z, lang, source, m) AS total, sum(n) OVER (PARTITION BY z, lang, source, m ORDER BY b) AS upto FROM h),
+q AS (SELECT z, lang, source, m, max(total) AS total, min(b) FILTER (upto * 4 >= total) AS b25, min(b) FILTER (upto * 4 >= total * 3) AS b75 FROM u GROUP BY ALL),
+e AS (SELECT *, CASE WHEN b25 < 32 THEN b25 ELSE (b25 - (b25 // 16 - 1) * 16) << (b25 // 16 - 1) END AS q25, CASE WHEN b75 < 32 THEN b75 ELSE (b75 - (b75 // 16 - 1) * 16) << (b75 // 16 - 1) END AS q75,
+        CASE m WHEN 'symbols_pm' THEN 60 WHEN 'dup_lines_pm' THEN 200 WHEN 'repeats_pm' THEN 150 ELSE 20 END AS slack FROM q WHERE total >= 50 OR z = 2),
+f AS (SELECT z, lang, source, m, q25 - 3 * (q75 - q25) - slack AS low, q75 + 3 * (q75 - q25) + slack AS high FROM e)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (
+   $OVER(symbols_pm) OR $OVER(dup_lines_pm) OR $OVER(repeats_pm) OR $OVER(word_length_x10) OR $UNDER(word_length_x10)) AS kept
+FROM x
+"""
+for _side, _sign, _name in (("high", ">", "OVER"), ("low", "<", "UNDER")):
+    for _m in quality.METRICS:
+        _look = [f"(SELECT max({_side}) FROM f WHERE z = {z} AND m = '{_m}'{on})" for z, on in ((0, " AND f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source"), (1, " AND f.lang IS NOT DISTINCT FROM x.lang"), (2, ""))]
+        OP3 = OP3.replace(f"${_name}({_m})", f"coalesce({_m} {_sign} coalesce({', '.join(_look)}), false)")
