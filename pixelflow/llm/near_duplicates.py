@@ -3,12 +3,13 @@
 1. Every document's distinct five-word shingles are hashed to 64 bits; KEPT minima give BANDS band keys, and the low
    BITS bits of each minimum are packed into the signature.
 2. Documents with equal sets form a class (its key is a 128-bit digest of the set); one member stands for it from here.
-3. Classes that share a band key are candidates. Within a bucket everyone is compared with the smallest member only; the
-   signatures' equal bit groups, corrected for chance collisions, estimate the similarity, and each class keeps its
-   best estimate. Survivors are confirmed on full sets and joined to components.
-4. Whoever shares a bucket with another component is then compared with that component's members (members of the
-   bucket's largest component aren't compared among themselves: they are linked already). So no link between components is
-   lost, and a group of copies costs its size, not its square.
+3. Classes that share a band key are candidates. Within a bucket everyone is a candidate with the smallest member only, and
+   each class keeps the candidate that it shares most bands with. The signatures' equal bit groups, corrected for chance
+   collisions, estimate the similarity; survivors are confirmed on full sets and joined to components.
+4. The rest is done exactly: members of buckets that still hold several components are compared across components by
+   the prefix filter. With all shingles in one order, rare ones first, two sets that reach the threshold share one of the
+   first n - ceil(threshold * n) + 1 shingles of each. Pairs that do are estimated and confirmed as before.
+   So no link between components that share a bucket is lost, and a group of copies costs its size, not its square.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.85^5)^28 > 0.9999999, and its estimate falls under
 the margin of five standard deviations about once in three million; links also follow from other pairs of a group.
@@ -33,6 +34,7 @@ BANDS, ROWS, BITS = 28, 5, 4
 KEPT = 144  # minima: BANDS * ROWS of them make bands, all are in the signature of KEPT * BITS bits
 MARGIN = 5.0  # standard deviations by which an estimate may fall short
 STEP = 64
+SLOTS = 1 << 20  # for the shingles' order
 PAIRS = 32  # pairs of texts compared at a time
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -178,6 +180,44 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each of SLOTS slots; partial counts on the executors, at most SLOTS rows to the driver."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, STEP):
+                for text in b.column(1).slice(at, STEP).to_pylist():
+                    counts += np.bincount((shingles(text) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+
+    got = texts.select("doc_id", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def _prefixes(texts: DataFrame, threshold: int) -> DataFrame:
+    """(h, rep, label) for the shingles in each text's prefix, in the order of their slot's count, then hash."""
+    counts = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, STEP):
+                part, kept, hashes = b.slice(at, STEP), [], []
+                for text in part.column(1).to_pylist():
+                    s = shingles(text)
+                    n = len(s) - -(-threshold * len(s) // 100) + 1
+                    first = s[np.lexsort((s, counts.value[(s % np.uint64(SLOTS)).astype(np.int64)]))[:n]] if len(s) else s
+                    hashes.append(first.view(np.int64))
+                    kept.append(len(first))
+                row = pa.array(np.repeat(np.arange(len(kept)), kept))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), part.column(0).take(row), part.column(2).take(row)], ["h", "rep", "label"])
+
+    return texts.select("doc_id", "text", "label").mapInArrow(run, "h long, rep long, label long")
+
+
 def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
@@ -187,36 +227,36 @@ def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", t
     buckets = materialize(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     member = materialize(banded.join(buckets, "key").select("key", "pivot", "rep"), "members")
     signs = classes.select("rep", "n", "sig")
-
-    def signed_as(x: str) -> DataFrame:
-        return signs.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        return materialize(rows.join(nodes, "doc_id", "left_semi"), "texts")
-
-    star = member.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(signed_as("b"), "b").join(signed_as("a"), "a").filter(_alike("sig_a", "n_a", "sig_b", "n_b", threshold))
-    best = star.groupBy("b").agg(F.max(F.struct(estimate(F.col("sig_a"), F.col("sig_b")).alias("s"), F.col("a"))).alias("m"))
-    first = materialize(best.select(F.col("m.a").alias("a"), "b"), "pairs")
-    sure = materialize(confirmed(first, texts_of(first), threshold), "links")
+    # both sides grow with the corpus, so neither is broadcast, however small this corpus is
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = materialize(rows.join(member.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        for x in ("b", "a"):
+            pairs = pairs.join(signs.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")), x)
+        return pairs.filter(_alike("sig_a", "n_a", "sig_b", "n_b", threshold)).select("a", "b")
+
+    star = member.filter("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    best = star.groupBy("b").agg(F.max(F.struct(F.col("shared"), (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    sure = materialize(confirmed(materialize(alike(best), "pairs"), texts, threshold), "links")
     linked = components(sure)
 
     placed = member.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("main.label").alias("main"))
-    placed = materialize(placed.join(mixed, "key").join(signs, "rep").select("key", "rep", "label", "n", "sig", "main"), "mixed")
-    few = placed.filter("label != main").select("key", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x"))
-    all_ = placed.select("key", F.col("rep").alias("y"), F.col("label").alias("label_y"), F.col("main"), F.col("n").alias("n_y"), F.col("sig").alias("sig_y"))
-    differ = (F.col("label_x") != F.col("label_y")) & ((F.col("x") < F.col("y")) | (F.col("label_y") == F.col("main")))
-    left = few.join(all_, "key").filter(differ & _alike("sig_x", "n_x", "sig_y", "n_y", threshold))
-    left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    left = materialize(left, "pairs")
-    links = sure.unionByName(confirmed(left, texts_of(left), threshold))
-    linked = components(materialize(links, "links"))
-
-    home = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    rest = placed.join(mixed, "key").select(F.col("rep").alias("doc_id"), "label").distinct()
+    prefix = materialize(_prefixes(materialize(texts.join(rest, "doc_id"), "mixed"), threshold), "prefixes")
+    several = prefix.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
+    prefix = prefix.join(several, "h")
+    other = prefix.select("h", F.col("rep").alias("b"), F.col("label").alias("label_b"))
+    met = prefix.withColumnRenamed("rep", "a").join(other, "h").filter("a < b and label != label_b").select("a", "b").distinct()
+    left = materialize(alike(met), "pairs")
+    late = confirmed(left, texts, threshold)
+    for x in ("a", "b"):
+        late = late.join(linked.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+    joined = components(materialize(late.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "links"))
+
+    home = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("first"))
+    home = home.join(joined.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("label", "first").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(home, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
