@@ -22,6 +22,8 @@ UNEVEN_BLANKS = re.compile(f"[{SPACES}]{{2}}|^[{SPACES}]|[{SPACES}]\\Z|[\\t\\x0b
 NOT_BLANKS = re.compile("[\\x1c-\\x1f]")  # str.split() takes these for blanks
 BLANKS = re.compile(f"[{SPACES}]+")
 
+MARKS = frozenset(",.;:?!|")
+
 CACHE_WORDS = 1_000_000  # entries kept by a worker's cache before it starts anew
 CACHE_CHARS = 64  # longer pieces aren't kept
 
@@ -180,7 +182,12 @@ class Pieces(dict):
 
 def normal_words(chunk: str) -> list[str]:
     """Pre-tokens of a chunk without blanks for the word-end vocabulary: composed, lower-cased one character at a time."""
-    return WORD_PATTERN.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+    low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    if low.isalpha():  # most chunks are a word, or a word and a mark
+        return [low]
+    if low[-1:] in MARKS and low[:-1].isalpha():
+        return [low[:-1], low[-1]]
+    return WORD_PATTERN.findall(low)
 
 
 def chunks(text: str) -> list[str]:

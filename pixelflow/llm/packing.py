@@ -11,8 +11,10 @@ are packed as often as they come; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelflow.llm import bpe_codec
+from pixelflow.llm import bpe
 
 SIZE = 2048
 BLOCK = 1 << 18  # tokens planned at once
@@ -62,11 +64,45 @@ def plan(cuts: list[int], penalties: list[float], size: int = SIZE) -> list[int]
     return chain[::-1]
 
 
+class LibraryIds:
+    """Ids of texts by the tokenizers library: its model merges each word that is new to the cache."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.t = bpe.tables(path)
+        self.model = Tokenizer.from_file(path).model
+        self.symbol = bpe.byte_symbols()
+        self.packed = bpe.Pieces(self._packed)
+
+    def _packed(self, chunk: str) -> bytes:
+        out = []
+        for w in bpe.normal_words(chunk):
+            letters = w if w.isascii() and w.isprintable() else "".join([self.symbol[b] for b in w.encode()])
+            out += [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        out = []
+        for part, special in self.t.segments(text or ""):
+            if special is None:
+                out += map(self.packed.__getitem__, bpe.chunks(part))
+            else:
+                out.append(struct.pack("<I", special))
+        return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def library_ids(path: str) -> LibraryIds:
+    return LibraryIds(path)
+
+
 class Packer:
     """Plans block after block of one partition and gives the pieces of each."""
 
     def __init__(self, path: str, size: int, first_sequence: int):
-        self.codec = bpe_codec.codec(path)
+        self.codec = library_ids(path)
         self.size, self.sequence = size, first_sequence
         t = self.codec.t
         self.stops = np.zeros(max(t.text) + 1, bool)
@@ -93,9 +129,8 @@ class Packer:
         for _, ids, _, _ in self.held:
             inner = np.flatnonzero(self.stops[ids[:-1]]) + 1
             grid = np.arange(GRID, len(ids), GRID)
-            places = np.union1d(inner, grid)
-            cost = np.full(len(places), PLAIN_CUT)
-            cost[np.isin(places, inner, assume_unique=True)] = SENTENCE_CUT
+            places = np.unique(np.concatenate([inner, grid]))
+            cost = np.where(self.stops[ids[places - 1]], SENTENCE_CUT, PLAIN_CUT)
             cuts += (places + at).tolist()
             penalties += cost.tolist()
             at += len(ids)
