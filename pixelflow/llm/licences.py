@@ -46,6 +46,10 @@ def _shingles(text: Column) -> Column:
     return let(_words(text), lambda w: F.when(F.size(w) >= WORDS, at(w)).otherwise(F.array().cast("array<bigint>")))
 
 
+def _minimum(window: str, seed: int) -> Column:
+    return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(seed))))
+
+
 def _seeds() -> list[int]:
     x, out = 0x243F6A8885A308D3, []
     for _ in range(BANDS):
@@ -84,7 +88,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     found = found.select(id_col, "t", (F.col("j") * F.col("stride")).alias("begin"), window.alias("win")).join(side, "t")
     shared = F.lit(False)
     for k, seed in enumerate(SEEDS):
-        shared = shared | (F.array_min(F.transform("win", lambda x, s=seed: x.bitwiseXOR(F.lit(s)))) == F.get("low", F.lit(k)))
+        shared = shared | (_minimum("win", seed) == F.get("low", F.lit(k)))
     held = F.array_intersect("th", "win")
     found = found.filter(shared | (F.size("th") < 4)).withColumn("containment", F.size(held) / F.size(F.array_distinct("th")))
     found = found.filter(F.col("containment") >= CONTAINED)
