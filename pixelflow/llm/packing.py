@@ -33,12 +33,27 @@ STEP = 64
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def _power_windows(cuts: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """Pairs (j, i) of cuts that are a power of two below ``size`` apart, by j; with an end mark."""
+    place = np.full(int(cuts[-1]) + 1, -1, np.int64)
+    place[cuts] = np.arange(len(cuts))
+    to, since = [], []
+    for p in range(size.bit_length() - 1):
+        j = np.flatnonzero(cuts >= 1 << p)
+        i = place[cuts[j] - (1 << p)]
+        to.append(j[i >= 0])
+        since.append(i[i >= 0])
+    to, since = np.concatenate(to), np.concatenate(since)
+    order = np.argsort(to, kind="stable")
+    return [*to[order].tolist(), -1], since[order].tolist()
+
+
 def plan(cuts: list[int], penalties: list[float], size: int = SIZE) -> list[int]:
     """Indices into ``cuts`` (ascending, first 0, gaps of at most ``size``) of the best chain from the first to the last."""
     n = len(cuts)
     best, came = [0.0] * n, [0] * n
-    where = {c: k for k, c in enumerate(cuts)}
-    powers = [1 << p for p in range(size.bit_length() - 1)]
+    exact = _power_windows(np.asarray(cuts, np.int64), size)
+    nxt, (to, since) = 0, exact
     queue: deque[int] = deque([0])
     value = [0.0] * n  # best(i) + i
     value[0] = float(cuts[0])
@@ -48,9 +63,10 @@ def plan(cuts: list[int], penalties: list[float], size: int = SIZE) -> list[int]
             queue.popleft()
         i = queue[0]
         low = value[i] + size - at
-        for p in powers:
-            k = where.get(at - p)
-            if k is not None and best[k] < low:
+        while to[nxt] == j:
+            k = since[nxt]
+            nxt += 1
+            if best[k] < low:
                 low, i = best[k], k
         best[j] = low + penalties[j]
         came[j] = i
@@ -73,13 +89,12 @@ class LibraryIds:
         self.t = bpe.tables(path)
         self.model = Tokenizer.from_file(path).model
         self.symbol = bpe.byte_symbols()
-        self.packed = bpe.Pieces(self._packed)
+        self.words = bpe.Pieces(self._word)
+        self.packed = bpe.Pieces(lambda chunk: b"".join([self.words[w] for w in bpe.normal_words(chunk)]))
 
-    def _packed(self, chunk: str) -> bytes:
-        out = []
-        for w in bpe.normal_words(chunk):
-            letters = w if w.isascii() and w.isprintable() else "".join([self.symbol[b] for b in w.encode()])
-            out += [t.id for t in self.model.tokenize(letters)]
+    def _word(self, w: str) -> bytes:
+        letters = w if w.isascii() and w.isprintable() else "".join([self.symbol[b] for b in w.encode()])
+        out = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(out)}I", *out)
 
     def encode_bytes(self, text: str | None) -> bytes:
