@@ -8,7 +8,8 @@
    collisions, estimate the similarity; survivors are confirmed on full sets and joined to components.
 4. The rest is done exactly: members of buckets that still hold several components are compared across components by
    the prefix filter. With all shingles in one order, rare ones first, two sets that reach the threshold share one of the
-   first n - ceil(threshold * n) + 1 shingles of each. Pairs that do are estimated and confirmed as before.
+   first n - ceil(threshold * n) + 1 shingles of each. Of the pairs that do, the join keeps those whose estimate and whose
+   bitmaps (an exact bound) allow the threshold; they are confirmed as before.
    So no link between components that share a bucket is lost, and a group of copies costs its size, not its square.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.85^5)^28 > 0.9999999, and its estimate falls under
@@ -35,6 +36,7 @@ KEPT = 144  # minima: BANDS * ROWS of them make bands, all are in the signature
 MARGIN = 5.0  # standard deviations by which an estimate may fall short
 STEP = 64
 SLOTS = 1 << 20  # for the shingles' order
+WIDTH = 2048  # bits of a text's bitmap
 PAIRS = 32  # pairs of texts compared at a time
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -198,24 +200,39 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """WIDTH bits, those set that a shingle of the set falls on."""
+    out = np.zeros(WIDTH, np.uint8)
+    out[((s >> np.uint64(20)) % np.uint64(WIDTH)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+def _within(ba: str, na: str, bb: str, nb: str, threshold: int) -> Column:
+    """The bitmaps allow the threshold: every bit in which they differ takes a shingle that only one of the sets has, and
+    sets at the threshold have (100 - threshold) / (100 + threshold) of their sizes' sum of those at most."""
+    apart = F.lit(0)
+    for k in range(WIDTH // 64):
+        apart = apart + F.bit_count(F.get(F.col(ba), F.lit(k)).bitwiseXOR(F.get(F.col(bb), F.lit(k))))
+    return apart * (100 + threshold) <= (F.col(na) + F.col(nb)) * (100 - threshold)
+
+
 def _prefixes(texts: DataFrame, threshold: int) -> DataFrame:
-    """(h, rep, label) for the shingles in each text's prefix, in the order of their slot's count, then hash."""
+    """rep, label, prefix (shingles in the order of their slot's count, then hash) and bits of each text."""
     counts = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, STEP):
-                part, kept, hashes = b.slice(at, STEP), [], []
+                part, prefix, bits = b.slice(at, STEP), [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text)
                     n = len(s) - -(-threshold * len(s) // 100) + 1
-                    first = s[np.lexsort((s, counts.value[(s % np.uint64(SLOTS)).astype(np.int64)]))[:n]] if len(s) else s
-                    hashes.append(first.view(np.int64))
-                    kept.append(len(first))
-                row = pa.array(np.repeat(np.arange(len(kept)), kept))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), part.column(0).take(row), part.column(2).take(row)], ["h", "rep", "label"])
+                    prefix.append((s[np.lexsort((s, counts.value[(s % np.uint64(SLOTS)).astype(np.int64)]))[:n]] if len(s) else s).view(np.int64))
+                    bits.append(bitmap(s))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prefix, longs), pa.array(bits, longs)], ["rep", "label", "prefix", "bits"])
 
-    return texts.select("doc_id", "text", "label").mapInArrow(run, "h long, rep long, label long")
+    return texts.select("doc_id", "text", "label").mapInArrow(run, "rep long, label long, prefix array<long>, bits array<long>")
 
 
 def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,12 +261,13 @@ def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", t
     placed = member.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
     rest = placed.join(mixed, "key").select(F.col("rep").alias("doc_id"), "label").distinct()
-    prefix = materialize(_prefixes(materialize(texts.join(rest, "doc_id"), "mixed"), threshold), "prefixes")
+    drafts = materialize(_prefixes(materialize(texts.join(rest, "doc_id"), "mixed"), threshold), "prefixes")
+    prefix = drafts.select("rep", "label", F.explode("prefix").alias("h"))
     several = prefix.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
-    prefix = prefix.join(several, "h")
-    other = prefix.select("h", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-    met = prefix.withColumnRenamed("rep", "a").join(other, "h").filter("a < b and label != label_b").select("a", "b").distinct()
-    left = materialize(alike(met), "pairs")
+    side = prefix.select("h", "rep").join(several, "h").join(drafts.select("rep", "label", "bits"), "rep").join(signs, "rep")
+    a, b = (side.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "bits", "n", "sig"))) for x in "ab")
+    met = a.join(b, "h").filter((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _within("bits_a", "n_a", "bits_b", "n_b", threshold) & _alike("sig_a", "n_a", "sig_b", "n_b", threshold))
+    left = materialize(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
     late = confirmed(left, texts, threshold)
     for x in ("a", "b"):
         late = late.join(linked.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")

@@ -182,3 +182,18 @@ def test_neighbours(spark):
     few = neighbours.search(df.filter("vec_id < 5"), F.col("id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(q, r, v) for q, r, v, _ in neighbours.exact(pd.DataFrame(rows[:5], columns=["vec_id", "embedding"]).assign(embedding=list(x[:5])), 20, lambda i: i % 20 == 0)]
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def test_bitmaps_never_reject_a_link(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 7, 100, 3000, 40_000):
+        for lost in (0, n // 13, n // 6):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 63, lost // 2, dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            rows.append((len(a), len(b), near_duplicates.bitmap(a).tolist(), near_duplicates.bitmap(b).tolist(), 100 * common >= 85 * (len(a) + len(b) - common)))
+    df = spark.createDataFrame(rows, "na long, nb long, ba array<long>, bb array<long>, link boolean")
+    judged = df.select("link", near_duplicates._within("ba", "na", "bb", "nb", 85).alias("within")).collect()
+    assert any(r.link for r in judged) and any(not r.within for r in judged)
+    assert all(r.within for r in judged if r.link)
