@@ -35,7 +35,7 @@ BANDS, ROWS, BITS = 28, 5, 4
 KEPT = 144  # minima: BANDS * ROWS of them make bands, all are in the signature of KEPT * BITS bits
 MARGIN = 5.0  # standard deviations by which an estimate may fall short
 STEP = 64
-SLOTS = 1 << 20  # for the shingles' order
+SLOTS = 1 << 18  # for the shingles' order
 WIDTH = 2048  # bits of a text's bitmap
 PAIRS = 32  # pairs of texts compared at a time
 
@@ -194,9 +194,9 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
 
-    got = texts.select("doc_id", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.select("doc_id", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
