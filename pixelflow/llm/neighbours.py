@@ -7,6 +7,10 @@ constant less twice the sum over common pivots of NEAREST - max(place, place), s
 vectors that share a pivot with the query; the best RERANK of each block are then ranked by the exact inner product in
 double precision.
 
+Pivots tell directions, not lengths. So a block's vectors are taken in bands of nearly equal length, the longest first:
+each band has its own share to rerank, and the search ends where a band's longest vector, by the product of the lengths,
+can't reach the best found. Equal vectors are one entry of the index, whose smallest ids answer.
+
 Vectors and queries are dealt into blocks of bounded size, and every query block meets every vector block, where the
 inverted files of that block are built; only each meeting's best are shuffled on. All vectors are indexed.
 
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from pixelflow.llm.common import materialize
 
 PIVOTS, NEAREST = 512, 48
-RERANK, LEAST_RERANK = 0.12, 512  # share and least number of a block's vectors that are ranked exactly
+RERANK, LEAST_RERANK = 0.12, 512  # share and least number of a band's vectors that are ranked exactly
+BANDS_PER_DOUBLING = 8  # lengths within a band differ by 9 % at most
 VECTOR_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 13  # rows at most, in expectation
 
 
@@ -54,6 +59,63 @@ class Files:
         return out
 
 
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length 1, and the logarithms (to 2) of their lengths; safe for very large and small components."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    part = x / most
+    length = np.sqrt((part * part).sum(axis=1, keepdims=True))
+    return part / length, (np.log2(most) + np.log2(length)).ravel()
+
+
+def _products(x: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """Inner products summed in an order that doesn't depend on a row's place, so that equal vectors get equal scores."""
+    return (x * vec).sum(axis=1)
+
+
+class Block:
+    """Vectors of a block, equal ones once, by length band from the longest on, and their inverted files."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, nearest: int):
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], np.ascontiguousarray(x[by_id]) + 0.0  # no negative zeros
+        _, first, member = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        unit, length = _unit(x[first])
+        by_length = np.argsort(-length, kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[by_length] = np.arange(len(first))
+        member = place[member.ravel()]
+        self.ids = ids[np.argsort(member, kind="stable")]  # by vector, then id
+        self.start = np.searchsorted(np.sort(member), np.arange(len(first) + 1))
+        self.x, self.length = x[first][by_length], length[by_length]
+        band = np.floor(self.length * BANDS_PER_DOUBLING + 0.5)
+        self.bands = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(first)]
+        self.pivots, self.files = pivots, Files(places(unit[by_length], pivots, nearest), len(pivots))
+
+    def nearest_to(self, qid: int, vec: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the block's ``k`` nearest found, without ``qid``."""
+        common = self.files.common(places(unit[None], self.pivots, self.files.nearest)[0])
+        reach = np.log2(np.abs(vec).max()) + np.log2(np.sqrt(np.square(vec / np.abs(vec).max()).sum()))
+        ids, score = np.zeros(0, np.int64), np.zeros(0)
+        for low, high in zip(self.bands, self.bands[1:]):
+            if len(score) == k and np.exp2(min(self.length[low] + reach, 1023.0)) * (1 + 1e-9) < score[-1]:
+                break  # no vector from here on is long enough
+            few = min(high - low, max(LEAST_RERANK, int(np.ceil(RERANK * (high - low)))))
+            near = low + (np.argpartition(-common[low:high], few - 1)[:few] if few < high - low else np.arange(high - low))
+            rough = self.x[near] @ vec
+            if len(near) > k + 1:  # those that can't be among the best, by more than rounding, needn't be summed again
+                cut = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                near = near[~(rough < cut - 1e-9 * np.exp2(min(self.length[low] + reach, 1023.0)))]
+            exact_score = _products(self.x[near], vec)
+            size = np.minimum(self.start[near + 1] - self.start[near], k + 1)
+            at = np.repeat(self.start[near] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            ids, score = np.concatenate([ids, self.ids[at]]), np.concatenate([score, np.repeat(exact_score, size)])
+            other = ids != qid
+            ids, score = ids[other], score[other]
+            best = np.lexsort((ids, -score))[:k]
+            ids, score = ids[best], score[best]
+        return ids, score
+
+
 def _valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col("vec")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -77,7 +139,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     n, dim = lengths[0]["count"], lengths[0]["d"]
     valid = materialize(valid.filter(F.size("vec") == dim), "vectors")
     drawn = valid.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(min(PIVOTS, max(1, n // 2))).toPandas()
-    pivots = spark.sparkContext.broadcast(np.stack(drawn["vec"].to_numpy()).astype(np.float64))
+    pivots = spark.sparkContext.broadcast(_unit(np.stack(drawn["vec"].to_numpy()).astype(np.float64))[0])
     nearest = min(NEAREST, len(drawn))
     n_queries = valid.filter(is_query).count()
     vector_blocks = max(-(-n // VECTOR_BLOCK), min(12, -(-n // 1024)))
@@ -90,19 +152,13 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if a.num_rows and b.num_rows:
-            ids, x, qids, y = a["id"].to_numpy(), _stack(a["vec"]), b["id"].to_numpy(), _stack(b["vec"])
-            p = pivots.value
-            files, orders = Files(places(x, p, nearest), len(p)), places(y, p, nearest)
-            few = min(len(x), max(LEAST_RERANK, int(np.ceil(RERANK * len(x)))))
-            for qid, vec, order in zip(qids, y, orders):
-                near = files.common(order)
-                near = np.argpartition(-near, few - 1)[:few] if few < len(x) else np.arange(len(x))
-                near = near[ids[near] != qid]
-                score = np.array([np.dot(r, vec) for r in x[near]]) if len(near) < 8 else x[near] @ vec
-                best = np.lexsort((ids[near], -score))[:k]
-                out["query_id"].append(np.full(len(best), qid))
-                out["vec_id"].append(ids[near][best])
-                out["score"].append(score[best])
+            block = Block(a["id"].to_numpy(), _stack(a["vec"]), pivots.value, nearest)
+            y = _stack(b["vec"])
+            for qid, vec, unit in zip(b["id"].to_numpy(), y, _unit(y)[0]):
+                ids, score = block.nearest_to(qid, vec, unit, k)
+                out["query_id"].append(np.full(len(ids), qid))
+                out["vec_id"].append(ids)
+                out["score"].append(score)
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
         return pa.table({c: np.concatenate([*v, np.zeros(0, kinds[c])]).astype(kinds[c]) for c, v in out.items()})
 
@@ -116,7 +172,7 @@ def exact(rows: pd.DataFrame, k: int, query) -> list[tuple[int, int, int, float]
     ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
     out = []
     for i in np.flatnonzero(query(ids)):
-        score = x @ x[i]
+        score = _products(x, x[i])
         others = np.flatnonzero(ids != ids[i])
         best = others[np.lexsort((ids[others], -score[others]))[:k]]
         out += [(int(ids[i]), r + 1, int(ids[j]), float(score[j])) for r, j in enumerate(best)]

@@ -184,6 +184,25 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
+def test_neighbours_of_all_lengths_and_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)))
+    x[1000:2400] = x[17]  # a third and more of all rows are one vector
+    x[3999] *= 1e200
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    want = neighbours.exact(pd.DataFrame({"vec_id": range(4000), "embedding": list(x)}), 20, lambda i: i % 20 == 0)
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert len(got) == 200 * 20 and np.mean([(q, v) in found for q, _, v, _ in want]) >= 0.95
+    copies = sorted((r.rank, r.vec_id) for r in got if r.query_id == 1000 and r.vec_id in {17, *range(1000, 2400)})
+    assert [v for _, v in copies] == sorted(v for _, v in copies)
+    score = {}
+    for r in got:
+        if r.vec_id in {17, *range(1000, 2400)}:
+            score.setdefault(r.query_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in score.values())
+
+
 def test_bitmaps_never_reject_a_link(spark):
     rng = np.random.default_rng(5)
     rows = []
