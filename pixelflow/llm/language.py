@@ -95,7 +95,7 @@ def _scored(model: Model, spark):
         got = [shared.value.score(x) for x in texts]
         return pd.DataFrame({"loglik": [g[0] for g in got], "grams": [g[1] for g in got]})
 
-    return score
+    return score.asNondeterministic()  # it isn't, but else a filter on its result would score every text once more
 
 
 def _softmax(logs: Column) -> Column:
@@ -120,16 +120,16 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column | Non
         _scored(model, spark)(text).alias("s"),
     )
     scored = scored.select("row", "declared", "host", "suffix", F.transform("s.loglik", lambda x: x * TEMPER).alias("loglik"), "s.grams", (F.array_max("s.loglik") / F.greatest("s.grams", F.lit(1))).alias("mean"))
-    scored = materialize(scored.withColumn("p", _softmax(F.col("loglik"))), "language")
-    seen = scored.filter("grams > 0")
+    # evidence without the rows themselves: texts are scored once more for the verdict rather than written a second time
+    seen = materialize(scored.filter("grams > 0").select("declared", "host", "suffix", _softmax(F.col("loglik")).alias("p")), "evidence")
     whole = _counts(seen, [], n).select(F.transform("n", lambda x: (x + 1.0)).alias("n"))
     whole = whole.select(F.transform("n", lambda x: x / F.aggregate("n", F.lit(0.0), lambda a, y: a + y)).alias("base"), F.col("n").alias("in_all"))
     shrink = lambda own, to: F.zip_with(own, to, lambda x, p: (x + STRENGTH * p) / (F.aggregate(own, F.lit(0.0), lambda a, y: a + y) + STRENGTH))
     zero = F.array(*(F.lit(0.0) for _ in langs))
-    by_suffix = _counts(seen, ["suffix"], n).select(F.col("suffix").alias("_suffix"), F.col("n").alias("n_suffix"))
-    by_host = _counts(seen, ["host"], n).select(F.col("host").alias("_host"), F.col("n").alias("n_host"))
-    by_tag = _counts(seen, ["declared"], n).select(F.col("declared").alias("_declared"), F.col("n").alias("n_tag"))
-    out = scored.drop("p").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    by_suffix = materialize(_counts(seen, ["suffix"], n).select(F.col("suffix").alias("_suffix"), F.col("n").alias("n_suffix")), "suffix")
+    by_host = materialize(_counts(seen, ["host"], n).select(F.col("host").alias("_host"), F.col("n").alias("n_host")), "host")
+    by_tag = materialize(_counts(seen, ["declared"], n).select(F.col("declared").alias("_declared"), F.col("n").alias("n_tag")), "declared")
+    out = scored.join(F.broadcast(whole), F.lit(True), "left")  # one row
     for side, key in ((by_suffix, "suffix"), (by_host, "host"), (by_tag, "declared")):
         out = out.join(side, F.col(key) == F.col(f"_{key}"), "left")
     out = out.withColumn("prior", shrink(F.coalesce("n_host", zero), shrink(F.coalesce("n_suffix", zero), F.col("base"))))
