@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ LANGUAGES = ("en", "de", "fr", "es")
 SLOTS = 1 << 16
 SAMPLE = 4000  # labelled rows for each language, in expectation
 TEMPER, STRENGTH, MIN_POSTERIOR, MIN_BYTES = 0.3, 20.0, 0.5, 40
-SPAN = 1 << 20  # bytes looked up at once
+SPAN = 1 << 15  # bytes looked up at once
 STEP = 128
 
 
@@ -90,10 +89,15 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
 def _scored(model: Model, spark):
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<loglik:array<double>,grams:bigint>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        got = [shared.value.score(x) for x in texts]
-        return pd.DataFrame({"loglik": [g[0] for g in got], "grams": [g[1] for g in got]})
+    @F.arrow_udf("struct<loglik:array<double>,grams:bigint>")
+    def score(texts: pa.Array) -> pa.Array:
+        loglik, grams = [], []
+        for at in range(0, len(texts), STEP):  # few texts at a time as Python strings
+            for x in texts.slice(at, STEP).to_pylist():
+                got, n = shared.value.score(x)
+                loglik.append(got)
+                grams.append(n)
+        return pa.StructArray.from_arrays([pa.array(loglik, pa.list_(pa.float64())), pa.array(grams, pa.int64())], ["loglik", "grams"])
 
     return score.asNondeterministic()  # it isn't, but else a filter on its result would score every text once more
 
