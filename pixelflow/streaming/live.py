@@ -60,7 +60,8 @@ class Recorder:
 
     A batch is written under its number, in overwrite mode, so a batch that is run again replaces itself. Hits wait for
     the trigger that follows theirs: hits and the last trigger of a batch are carried to the next one as tables in
-    ``state``, cut to the event window, so pairs across batches aren't lost and the state stays bounded."""
+    ``state``: all hits in the event window of that trigger, and those of the last two windows before the newest hit. So
+    pairs across batches aren't lost, however far apart triggers are, and the state stays bounded."""
 
     def __init__(self, spark: SparkSession, out: str, window: tuple[int, int], tdc_id: int = 1, edge: int = 0, bus: Bus | None = None):
         self.spark, self.out, self.window, self.tdc_id, self.edge = spark, out, window, tdc_id, edge
@@ -82,7 +83,8 @@ class Recorder:
             last = chosen.agg(F.max("toa").alias("last"))
             later = all_hits.join(F.broadcast(last), F.col("last").isNull() | (F.col("toa") >= F.col("last"))).drop("last")
             newest = all_hits.agg(F.max("toa").alias("newest"))
-            later = later.join(F.broadcast(newest), F.col("toa") >= F.col("newest") - 2 * (self.window[1] + 1)).drop("newest")
+            recent = newest.join(last).select((F.col("newest") - 2 * (self.window[1] + 1)).alias("recent"), (F.col("last") + self.window[1]).alias("end"))
+            later = later.join(F.broadcast(recent), (F.col("toa") >= F.col("recent")) | (F.col("toa") <= F.col("end"))).drop("recent", "end")
             state = f"{self.out}/_state/{batch}"
             later.write.mode("overwrite").parquet(f"{state}/hits")
             last.select(F.col("last").alias("toa")).filter("toa is not null").write.mode("overwrite").parquet(f"{state}/triggers")

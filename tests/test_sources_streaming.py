@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 
@@ -74,6 +75,26 @@ def test_stream_to_recordings(spark, tmp_path):
     assert not (out / "pixels").exists() and (out / "triggers" / "run=one").exists()
 
 
+def test_hits_wait_for_a_distant_trigger(spark, tmp_path):
+    raw, out = tmp_path / "in", tmp_path / "out"
+    raw.mkdir()
+    # triggers further apart than two windows, and a stray hit between
+    (raw / "a.tpx3").write_bytes(frames.frame_bytes([trigger(800), pixel(2, 110), pixel(4, 350)], 0, 1))
+    (raw / "b.tpx3").write_bytes(frames.frame_bytes([pixel(6, 380)], 0, 1))
+    (raw / "c.tpx3").write_bytes(frames.frame_bytes([trigger(3200), pixel(8, 410)], 0, 1))
+    for k, name in enumerate("abc"):
+        os.utime(raw / f"{name}.tpx3", (1_700_000_000 + k, 1_700_000_000 + k))
+    control = live.Controller(live.Recorder(spark, str(out), (0, 96 * 100)))
+    control.start_record("one")
+    query = control.start(live.raw_stream(spark, str(raw), 1), str(tmp_path / "cp"), available_now=True)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    events = spark.read.parquet(str(out / "events" / "run=one"))
+    assert [(r.x, r.tof // 96) for r in events.collect()] == [(2, 10)]
+    carried = spark.read.parquet(str(out / "_state" / "2" / "hits"))
+    assert [r.x for r in carried.collect()] == [8]
+
+
 def test_controller_protocol(spark, tmp_path):
     control = live.Controller(live.Recorder(spark, str(tmp_path), (0, 10)))
     assert control.handle({"cmd": "ping"}) == {"status": "pong"}
