@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelflow.llm import language, near_duplicates, packing, quality, queries
 from pixelflow.llm.common import materialize, ship
 
+NEAR = 80  # percent of five-word shingles from which this corpus takes two documents for near copies; op5's own is 85
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
@@ -26,7 +28,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     ship(spark)
-    return near_duplicates.keep_one(docs)
+    return near_duplicates.keep_one(docs, NEAR)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

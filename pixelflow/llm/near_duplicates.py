@@ -12,7 +12,7 @@
    bitmaps (an exact bound) allow the threshold; they are confirmed as before.
    So no link between components that share a bucket is lost, and a group of copies costs its size, not its square.
 
-A pair at the threshold shares a band with probability 1 - (1 - 0.85^5)^28 > 0.9999999, and its estimate falls under
+A pair at the threshold shares a band with probability 1 - (1 - 0.85^5)^28 > 0.9999999 (> 0.99998 at 0.8), and its estimate falls under
 the margin of five standard deviations about once in three million; links also follow from other pairs of a group.
 
 Null or wordless texts have no shingles and stand alone. Rows with the same doc_id are one document to the components.
