@@ -280,6 +280,17 @@ def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", t
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents that stand for their groups, with the columns that they came with."""
+    """One row for each document that stands for its group, with the columns that it came with.
+
+    Of rows with one doc_id the greatest stays, by text and then the other columns; rows without doc_id all stay."""
     gone = group(docs, threshold).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_rows"))
+    again = materialize(ids.filter("_rows > 1").select("_again"), "repeated")
+    if not again.limit(1).count():
+        return left
+    left = materialize(left, "left")
+    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    rows = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").groupBy(F.col("doc_id").alias("_again"))
+    best = rows.agg(F.max(F.struct("text", F.struct(*(F.col(c) for c in docs.columns)).alias("row"))).alias("_best"))
+    return once.unionByName(best.select("_best.row.*"))

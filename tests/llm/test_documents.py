@@ -58,6 +58,14 @@ def test_near_duplicates_equal_brute_force(spark, docs, none):
     assert near_duplicates.group(none).collect() == []
 
 
+def test_one_row_of_a_repeated_document_stays(spark, docs):
+    left = [r.doc_id for r in near_duplicates.keep_one(docs).collect()]
+    assert len(left) == len(set(left)) and 6 in left
+    rows = [(1, "a b c", 0), (1, None, 9), (1, "a b c", 2), (2, "A b c", 3), (2, "A b c", 3), (3, "d", 4), (None, "e", 5), (None, "e", 5)]
+    got = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([rows[2], rows[5], rows[6], rows[7]], "doc_id long, text string, extra int").collect()))
+
+
 def test_estimate_is_close(spark):
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(101, 1101, dtype=np.uint64)
     a, b = (near_duplicates._mix(x) for x in (a, b))
