@@ -41,6 +41,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "kept")
 
 
+def op4_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by its text, markup, host and address suffix; the text model is fitted on the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"))
+    out = language.identify_pages(table(spark, sf_dir, "pages"), model)
+    return out.select("row.page_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", "kept")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group(table(spark, sf_dir, "documents"))
 
@@ -66,9 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_training_order, op2_token_counts, op3_quality_rules, op4_language_id, op5_minhash_near_dedup, op6_bpe_codec, op7_url_filter, op8_licence_scan, op9_nearest_neighbours, op10_packing]
-
+def _shipped(found: list[Callable]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
@@ -79,6 +85,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: shipped(f) for f in found}
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _shipped([op1_training_order, op2_token_counts, op3_quality_rules, op4_language_id, op5_minhash_near_dedup, op6_bpe_codec, op7_url_filter, op8_licence_scan, op9_nearest_neighbours, op10_packing])
+
+
+def page_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Operators that have a second query, over pages."""
+    return _shipped([op4_language_id_pages])
+
+
 def oracle_sql() -> dict[str, str]:
     names = " OR ".join(f"host = '{n}.{e}' OR ends_with(host, '.{n}.{e}')" for n in LISTED_NAMES for e in LISTED_ENDS)
     return {"op7_url_filter": OP7.replace("$LISTED", names), "op3_quality_rules": OP3}

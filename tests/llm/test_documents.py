@@ -122,6 +122,22 @@ def test_language(spark, docs, none):
     assert p.filter(F.col("language") == language.markup_language(F.col("row.html"))).count() / pages.count() > 0.9
 
 
+def test_all_pages_are_judged_by_all_evidence(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in queries.page_queries()["op4_language_id_pages"](spark, sf).collect()}
+    assert len(got) == pages.count() and list(got) != []
+    told = pages.select("page_id", language.markup_language(F.col("html")).alias("tag")).filter("tag is not null").collect()
+    assert np.mean([got[r.page_id].language == r.tag for r in told]) > 0.9
+    model = language.fit(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"))
+    words = {r.lang: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 300").groupBy("lang").agg(F.max("text").alias("text")).collect()}
+    page = lambda k, host, lang, text: (k, f"http://{host}/", f"<html{lang}><body>{text}</body></html>")
+    rows = [page(k, f"h{k}.de" if k % 2 else f"h{k}.fr", "", words["de" if k % 2 else "fr"]) for k in range(200)]
+    rows += [page(1000, "new.de", "", ""), page(1001, "new.fr", "", ""), page(1002, "h1.de", "", "")]  # suffix, suffix, host
+    silent = language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).filter("row.page_id >= 1000")
+    assert {r.row.page_id: r.language for r in silent.collect()} == {1000: "de", 1001: "fr", 1002: "de"}
+
+
 def test_evidence_decides_where_text_is_silent(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"))
