@@ -8,7 +8,8 @@ band). A window can share a minimum with a template only if it holds that very s
 shingles that are some template's minimum: a membership test on each shingle against a fixed set of at most
 BANDS entries a template. Windows that share a band are confirmed if they hold at least CONTAINED of the template's shingles.
 
-Words are as for the other operators, lower-cased, without the punctuation in IGNORED. Null and short texts match nothing.
+Words are as for the other operators, lower-cased, without the punctuation in IGNORED. Null and short texts match nothing,
+and a template of fewer than WORDS words is an error.
 Rows with one doc_id are one document; extra columns are left out; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -62,9 +63,12 @@ SEEDS = _seeds()
 
 
 def prepared(spark, templates: dict[str, str]) -> list[tuple]:
-    """(name, shingles, minima by band) of each template that is long enough; hashed by the same expressions as the texts."""
+    """(name, shingles, minima by band) of each template, hashed by the same expressions as the texts; an error if one has
+    fewer than WORDS words."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _shingles(F.col("text")).alias("h")).collect()
-    return [(r["name"], list(r["h"]), [min(x ^ s for x in r["h"]) for s in SEEDS]) for r in rows if r["h"]]
+    if short := [r["name"] for r in rows if not r["h"]]:
+        raise ValueError(f"templates of fewer than {WORDS} words can't be found: {', '.join(short)}")
+    return [(r["name"], list(r["h"]), [min(x ^ s for x in r["h"]) for s in SEEDS]) for r in rows]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,6 +169,11 @@ def test_licences(spark, docs, none):
     assert [(r.doc_id, r.licence) for r in licences.scan(docs).collect()] == [(13, "MIT notice")] and licences.scan(none).collect() == []
 
 
+def test_short_templates_are_refused(docs):
+    with pytest.raises(ValueError, match="rights"):
+        licences.scan(docs, {"rights": "All rights reserved.", "MIT notice": licences.TEMPLATES["MIT notice"]})
+
+
 def test_url_verdicts(spark):
     urls = [None, "nothing", "http://", "HTTP://WWW.Free-Bets.example.com/x?y", "http://a.example.net/en/1", "http://a.example.net/enx", "http://example.net", "https://free-bets.example.com:80/", "https://x.example.com/de/#f", "http://y.org/fr/2", "ftp://spam-farm.example.org#a/b", "http://a b.example.com/é?", "http://y.org/fr/2"]
     pages = spark.createDataFrame([(k, u, "x", True) for k, u in enumerate(urls)], "page_id long, url string, host string, listed boolean")
