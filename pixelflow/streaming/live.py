@@ -65,7 +65,7 @@ class Recorder:
 
     def __init__(self, spark: SparkSession, out: str, window: tuple[int, int], tdc_id: int = 1, edge: int = 0, bus: Bus | None = None):
         self.spark, self.out, self.window, self.tdc_id, self.edge = spark, out, window, tdc_id, edge
-        self.bus, self.run, self.kept = bus or Bus(), None, {"raw": True, "events": True, "pixels": True, "triggers": True}
+        self.bus, self.run, self.kept = bus or Bus(), None, {"events": True, "pixels": True, "triggers": True}
         self.progress: deque = deque(maxlen=100)
 
     def _carried(self, batch: int, kind: str, schema: str) -> DataFrame:
@@ -109,6 +109,9 @@ class Controller:
         return self.query
 
     def start_record(self, filename: str, **kinds: bool) -> bool:
+        """False if raw data are asked for: their record is the landing folder, nothing is copied."""
+        if kinds.pop("save_raw", False):
+            return False
         if self.recorder.run:
             self.stop_record()
         self.recorder.kept.update({k.removeprefix("save_"): bool(v) for k, v in kinds.items() if k.startswith("save_")})
@@ -139,5 +142,7 @@ class Controller:
             if not request.get("filename"):
                 return {"status": "error", "message": "filename required"}
             done = self.start_record(request["filename"], **{k: v for k, v in request.items() if k.startswith("save_")})
-            return {"status": "ok" if done else "error", "recording": done, "filename": request["filename"]}
+            if not done:
+                return {"status": "error", "message": "save_raw: the landing folder is the raw record"}
+            return {"status": "ok", "recording": done, "filename": request["filename"]}
         return {"status": "error", "message": f"Unknown command: {cmd!r}"}

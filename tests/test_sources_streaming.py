@@ -106,6 +106,13 @@ def test_controller_protocol(spark, tmp_path):
     assert control.handle({"cmd": "stop_record"}) == {"status": "ok", "recording": False}
 
 
+def test_raw_recordings_are_refused(spark, tmp_path):
+    control = live.Controller(live.Recorder(spark, str(tmp_path), (0, 10)))
+    assert control.handle({"cmd": "start_record", "filename": "a", "save_raw": True})["status"] == "error"
+    assert control.handle({"cmd": "status"})["recording"] is False
+    assert control.handle({"cmd": "start_record", "filename": "a", "save_raw": False})["recording"] is True
+
+
 def test_bus():
     bus, got = live.Bus(), []
     bus.subscribe("a", lambda *x: got.append(x))
