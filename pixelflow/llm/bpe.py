@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import unicodedata
+import weakref
+from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -24,7 +27,7 @@ BLANKS = re.compile(f"[{SPACES}]+")
 
 MARKS = frozenset(",.;:?!|")
 
-CACHE_WORDS = 1_000_000  # entries kept by a worker's cache before it starts anew
+CACHE_WORDS = 500_000  # entries kept by a worker's cache before it starts anew, some 80 MB
 CACHE_CHARS = 64  # longer pieces aren't kept
 
 _SHIFT, _LOW = 32, (1 << 32) - 1
@@ -167,9 +170,13 @@ def tree_encode(symbols: list[int], t: Tables) -> list[int]:
 class Pieces(dict):
     """Value of a piece of text by ``make``, kept for short pieces; starts anew when full, so memory is bounded."""
 
+    __hash__ = object.__hash__
+    live: weakref.WeakSet = weakref.WeakSet()
+
     def __init__(self, make):
         super().__init__()
         self.make = make
+        Pieces.live.add(self)
 
     def __missing__(self, piece: str):
         value = self.make(piece)
@@ -180,6 +187,24 @@ class Pieces(dict):
         return value
 
 
+@contextmanager
+def pieces_of_a_task():
+    """What the caches took in a task goes with it: Spark's Python workers live on, and other operators run in them."""
+    try:
+        yield
+    finally:
+        for p in list(Pieces.live):
+            p.clear()
+        _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def normal_words(chunk: str) -> list[str]:
     """Pre-tokens of a chunk without blanks for the word-end vocabulary: composed, lower-cased one character at a time."""
     low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()

@@ -68,10 +68,11 @@ def _over_texts(docs: DataFrame, id_col: str, text_col: str, fields: list[tuple[
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                got = [value(x) for x in b.column(1).slice(at, STEP).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, STEP), *(pa.array([g[k] for g in got], kind) for k, (_, _, kind) in enumerate(fields))], ["id", *(f[0] for f in fields)])
+        with bpe.pieces_of_a_task():
+            for b in batches:
+                for at in range(0, b.num_rows, STEP):
+                    got = [value(x) for x in b.column(1).slice(at, STEP).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, STEP), *(pa.array([g[k] for g in got], kind) for k, (_, _, kind) in enumerate(fields))], ["id", *(f[0] for f in fields)])
 
     schema = ", ".join([f"id {id_type}", *(f"{n} {s}" for n, s, _ in fields)])
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -39,12 +39,20 @@ def _local_folder() -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 
-    The table is removed when the driver's Python ends."""
+    The table is removed by ``free``, else when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pixelflow_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove materialized tables before the driver ends: only when everything that reads them has itself been written."""
+    for t in tables:
+        _remove(t.sparkSession, t._pixelflow_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -55,9 +63,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch sent to Python, where the session has Spark's own default: texts are long, so a batch of 10,000
+#: holds tens of MB, several times over on both sides of the socket.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once for each application."""
+    """Make this package importable on every executor, once for each application, and keep Arrow batches of texts small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_pixelflow_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

@@ -49,10 +49,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     def run(batches):
         c = counter(tokenizer_path)
-        for b in batches:
-            texts, counts = b.column(2), []
-            for at in range(0, b.num_rows, STEP):
-                counts += [c.count(x) for x in texts.slice(at, STEP).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
+        with bpe.pieces_of_a_task():
+            for b in batches:
+                texts, counts = b.column(2), []
+                for at in range(0, b.num_rows, STEP):
+                    counts += [c.count(x) for x in texts.slice(at, STEP).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
