@@ -7,20 +7,22 @@ them, and numbers that leave the range walk on along their cycle until they are
 record's place is slot * stride: a reader that stopped at a slot goes on there. Ids have two bytes, so the vocabulary
 must be below 65,536.
 
-Tokens are written once to the shared folder, and shuffled once. Null text is an empty document: one sequence with the
+Tokens are written once to the shared folder, and shuffled once. ``shards`` gives rows, ``write_files`` files of them. Null text is an empty document: one sequence with the
 end token. Repeated rows are sequences of their own. An empty table gives no shards. Extra columns are left out."""
 
 from __future__ import annotations
 
 import base64
+import os
+import struct
+import uuid
 import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelflow.llm import bpe
@@ -28,6 +30,7 @@ from pixelflow.llm.common import materialize
 
 LENGTH, PER_SHARD, ROUNDS = 512, 512, 4
 TASK_BYTES = 32 << 20  # of records that one task writes
+MAX_BROADCAST_TASKS = 1 << 20  # 16 MB of first numbers; beyond it the join is Spark's choice
 STEP = 64
 
 
@@ -84,7 +87,8 @@ class Tokens:
         self.newline = self._encode("\n")
 
     def _encode(self, piece: str) -> bytes:
-        return np.array(self.library.encode_ordinary(piece), "<u2").tobytes()
+        ids = self.library.encode_ordinary(piece)
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids and the end token."""
@@ -112,18 +116,19 @@ def sequences(docs: DataFrame, ranks_path: str, length: int = LENGTH, id_col: st
 
     def run(batches):
         t, task, place = tokens(ranks_path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                ids, parts, cut = [], [], []
-                for doc_id, text in zip(b.column(0).slice(at, STEP).to_pylist(), b.column(1).slice(at, STEP).to_pylist()):
-                    raw = t.encode(text)
-                    for k in range(0, len(raw), 2 * length):
-                        ids.append(doc_id)
-                        parts.append(k // (2 * length))
-                        cut.append(raw[k : k + 2 * length])
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(cut, pa.binary())], ["task", "place", "doc_id", "part", "ids"])
-                place += n
+        with bpe.pieces_of_a_task():
+            for b in batches:
+                for at in range(0, b.num_rows, STEP):
+                    ids, parts, cut = [], [], []
+                    for doc_id, text in zip(b.column(0).slice(at, STEP).to_pylist(), b.column(1).slice(at, STEP).to_pylist()):
+                        raw = t.encode(text)
+                        for k in range(0, len(raw), 2 * length):
+                            ids.append(doc_id)
+                            parts.append(k // (2 * length))
+                            cut.append(raw[k : k + 2 * length])
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(cut, pa.binary())], ["task", "place", "doc_id", "part", "ids"])
+                    place += n
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "task long, place long, doc_id long, part long, ids binary")
 
@@ -132,19 +137,19 @@ def shards(docs: DataFrame, ranks_path: str, key: int, length: int = LENGTH, per
     """One row for each shard: shard, first_slot, n_slots, stride, payload (n_slots records of stride bytes), crc32, and
     the doc_id, part and number of ids of every record."""
     made = materialize(sequences(docs, ranks_path, length, id_col, text_col), "sequences")
-    per_task = made.groupBy("task").count().sort("task").toPandas()  # a row for each task of the scan
-    total = int(per_task["count"].sum())
-    spark, stride = docs.sparkSession, 2 * length
+    per_task = materialize(made.groupBy("task").count(), "tasks")  # a row for each task of the scan
+    n_tasks, total = per_task.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    stride = 2 * length
     n_shards = -(-total // per_shard)
     tasks = max(1, min(n_shards, -(-total * stride // TASK_BYTES)))
     order = Permutation(max(total, 1), key)
-    starts = spark.createDataFrame(pd.DataFrame({"task": per_task["task"].astype("int64"), "start": (per_task["count"].cumsum() - per_task["count"]).astype("int64")}), "task long, start long")
+    starts = per_task.select("task", (F.sum("count").over(Window.orderBy("task")) - F.col("count")).alias("start"))
 
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(order.slot(index.to_numpy()))
+    @F.arrow_udf("long")
+    def slot(index: pa.Array) -> pa.Array:
+        return pa.array(order.slot(index.to_numpy()))
 
-    placed = made.join(F.broadcast(starts), "task").select(slot(F.col("start") + F.col("place")).alias("slot"), "doc_id", "part", "ids")
+    placed = made.join(F.broadcast(starts) if n_tasks <= MAX_BROADCAST_TASKS else starts, "task").select(slot(F.col("start") + F.col("place")).alias("slot"), "doc_id", "part", "ids")
     ranged = placed.repartitionById(tasks, F.expr(f"cast((slot div {per_shard}) * {tasks} div {max(n_shards, 1)} as int)")).sortWithinPartitions("slot")
 
     def write(batches):
@@ -171,6 +176,46 @@ def shards(docs: DataFrame, ranks_path: str, key: int, length: int = LENGTH, per
     return ranged.mapInArrow(write, "shard long, first_slot long, n_slots long, stride long, payload binary, crc32 long, doc_ids array<long>, parts array<long>, n_ids array<long>")
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Each shard's records as one file ``shard-<number>.bin`` in ``folder``, which all executors have mounted; returns
+    shard, first_slot, n_slots, stride, crc32 and path. A file gets its name when it is whole, so a repeated task replaces
+    it by the same bytes."""
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            paths = []
+            for shard, payload in zip(b.column(0).to_pylist(), b.column(5)):
+                path = os.path.join(folder, f"shard-{shard:09d}.bin")
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(payload.as_buffer())
+                os.replace(part, path)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(paths, pa.string())], ["shard", "first_slot", "n_slots", "stride", "crc32", "path"])
+
+    return rows.select("shard", "first_slot", "n_slots", "stride", "crc32", "payload").mapInArrow(run, "shard long, first_slot long, n_slots long, stride long, crc32 long, path string")
+
+
+def read_files(folder: str, first_slot: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD):
+    """(slot, ids with padding) of up to ``n`` slots from ``first_slot`` on, in order: a slot's place follows from its number
+    alone, so a reader that stopped anywhere goes on by one seek."""
+    slot, stride = first_slot, 2 * length
+    while slot < first_slot + n:
+        path = os.path.join(folder, f"shard-{slot // per_shard:09d}.bin")
+        if not os.path.exists(path):
+            return
+        with open(path, "rb") as f:
+            f.seek(slot % per_shard * stride)
+            while slot < first_slot + n and (record := f.read(stride)):
+                yield slot, np.frombuffer(record, "<u2")
+                slot += 1
+                if slot % per_shard == 0:
+                    break
+            else:
+                return
+
+
 def read(written: DataFrame, first_slot: int, n: int) -> list[tuple[int, np.ndarray]]:
     """(slot, ids with padding) of up to ``n`` slots from ``first_slot`` on: only the shards that hold them are read."""
     out = []
