@@ -1,12 +1,12 @@
 """Order-preserving packing of token streams by dynamic programming.
 
-A block of consecutive documents is one token stream. Candidate cuts are document ends, sentence ends and, where neither
-comes for a while, every GRID tokens. best(j) = min over cuts i with 0 < j - i <= size of best(i) + padding(j - i) +
+The documents of an input partition are one token stream. Candidate cuts are document ends and sentence ends; only where
+neither comes for more than a window's size, every GRID tokens of that stretch are candidates too. best(j) = min over cuts i with 0 < j - i <= size of best(i) + padding(j - i) +
 penalty(j): since padding is size - (j - i), the minimum of best(i) + i over a sliding window is kept in a monotone queue,
 so each cut enters and leaves it once. Lengths that are powers of two need no padding and are looked up apart.
 
-Blocks lie within one input partition and hold at most BLOCK tokens plus one slice of a document, so memory is bounded
-whatever a document's length. Nothing is shuffled. Null text is an empty document (its end token only); repeated rows
+The stream is planned BLOCK tokens at a time, so memory is bounded whatever a document's length; a block's end isn't a
+cut: its last CARRIED windows are planned again with the tokens that follow. Nothing is shuffled. Null text is an empty document (its end token only); repeated rows
 are packed as often as they come; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pixelflow.llm import bpe
 
 SIZE = 2048
 BLOCK = 1 << 18  # tokens planned at once
-GRID = 64  # tokens between cuts offered inside a long sentence
+CARRIED = 8  # windows at a block's end that wait for the next block
+GRID = 64  # tokens between cuts offered where there is no boundary for a whole window
 SENTENCE_CUT, PLAIN_CUT = 4.0, 24.0  # padding tokens that a cut inside a document, or inside a sentence, is worth
 END_ID = 1
 STEP = 64
@@ -125,52 +126,65 @@ class Packer:
             core = s.removesuffix(t.end)
             self.stops[i] = bool(core) and core[-1] in ".!?"
         self.held: list[tuple] = []  # (doc_id, ids, start, doc_tokens)
-        self.tokens = 0
+        self.tokens, self.block = 0, max(BLOCK, 4 * CARRIED * size)
 
     def add(self, doc_id, text):
         raw = self.codec.encode_bytes(text)
         ids = np.frombuffer(raw + np.uint32(END_ID).tobytes(), "<u4")
-        for at in range(0, len(ids), BLOCK):
-            part = ids[at : at + BLOCK]
+        for at in range(0, len(ids), self.block):
+            part = ids[at : at + self.block]
             self.held.append((doc_id, part, at, len(ids)))
             self.tokens += len(part)
-            if self.tokens >= BLOCK:
-                yield from self.flush()
-
-    def flush(self):
+            if self.tokens >= self.block:
+                yield from self.flush(last=False)
+
+    def _candidates(self) -> tuple[list[int], list[float]]:
+        """Places where the held stream may be cut, and what a cut costs there; its start and end are among them."""
+        places, costs, at = [np.zeros(1, np.int64)], [np.zeros(1)], 0
+        for _, ids, start, whole in self.held:
+            closed = start + len(ids) == whole  # else more of the document follows
+            ends = np.flatnonzero(self.stops[ids[: len(ids) - closed]]) + 1
+            places.append(ends + at)
+            costs.append(np.full(len(ends), SENTENCE_CUT))
+            at += len(ids)
+            if closed:
+                places.append(np.array([at]))
+                costs.append(np.zeros(1))
+        cuts, pen = np.concatenate(places), np.concatenate(costs)
+        if cuts[-1] < at:  # the end of what is known of a document
+            cuts, pen = np.append(cuts, at), np.append(pen, PLAIN_CUT)
+        gaps = np.flatnonzero(np.diff(cuts) > self.size)
+        if len(gaps):
+            extra = np.concatenate([np.arange(cuts[g] + GRID, cuts[g + 1], GRID) for g in gaps])
+            cuts, pen = np.concatenate([cuts, extra]), np.concatenate([pen, np.full(len(extra), PLAIN_CUT)])
+            order = np.argsort(cuts, kind="stable")
+            cuts, pen = cuts[order], pen[order]
+        return cuts.tolist(), pen.tolist()
+
+    def flush(self, last: bool = True):
+        """Pieces of what is held; but for the partition's end, the last windows stay, to be planned again."""
         if not self.held:
             return
-        cuts, penalties, at = [0], [0.0], 0
-        for _, ids, _, _ in self.held:
-            inner = np.flatnonzero(self.stops[ids[:-1]]) + 1
-            grid = np.arange(GRID, len(ids), GRID)
-            places = np.unique(np.concatenate([inner, grid]))
-            cost = np.where(self.stops[ids[places - 1]], SENTENCE_CUT, PLAIN_CUT)
-            cuts += (places + at).tolist()
-            penalties += cost.tolist()
-            at += len(ids)
-            cuts.append(at)
-            penalties.append(0.0)
-        # plain cuts that make whole and power-of-two windows possible at the stream's end
-        where = set(cuts)
-        extra, left = [], at % self.size
-        for p in range(self.size.bit_length() - 2, -1, -1):
-            if left & (1 << p):
-                c = at - (left & ((1 << (p + 1)) - 1))
-                if c > 0 and c not in where:
-                    extra.append(c)
-        if extra:
-            order = np.argsort(np.array(cuts + extra), kind="stable")
-            both, pen = cuts + extra, penalties + [PLAIN_CUT] * len(extra)
-            cuts, penalties = [both[k] for k in order], [pen[k] for k in order]
+        cuts, penalties = self._candidates()
         chain = [cuts[k] for k in plan(cuts, penalties, self.size)]
+        if not last:
+            chain = chain[: -1 - CARRIED]
         yield from self._pieces(chain)
-        self.held, self.tokens = [], 0
+        self._drop(chain[-1])
+
+    def _drop(self, end: int) -> None:
+        left, at = [], 0
+        for doc_id, ids, start, whole in self.held:
+            gone = min(max(end - at, 0), len(ids))
+            if gone < len(ids):
+                left.append((doc_id, ids[gone:].copy(), start + gone, whole))
+            at += len(ids)
+        self.held, self.tokens = left, at - end
 
     def _pieces(self, chain: list[int]):
         k, base = 0, 0
         for doc_id, ids, start, whole in self.held:
-            at, end = base, base + len(ids)
+            at, end = base, min(base + len(ids), chain[-1])
             while at < end:
                 while chain[k + 1] <= at:
                     k += 1
@@ -178,7 +192,7 @@ class Packer:
                 piece = ids[at - base : stop - base]
                 yield doc_id, start + at - base, stop - at, zlib.crc32(piece), whole, self.sequence + k, at - chain[k]
                 at = stop
-            base = end
+            base += len(ids)
         self.sequence += len(chain) - 1
 
 
@@ -195,17 +209,18 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k or id_kind) for c, k in zip(cols, kinds)], FIELDS)
 
         id_kind, rows = None, []
-        for b in batches:
-            id_kind = b.column(0).type
-            for at in range(0, b.num_rows, STEP):
-                for doc_id, text in zip(b.column(0).slice(at, STEP).to_pylist(), b.column(1).slice(at, STEP).to_pylist()):
-                    rows += packer.add(doc_id, text)
-                if len(rows) > 8192:
-                    yield out(rows, id_kind)
-                    rows = []
-        rows += packer.flush()
-        if rows:
-            yield out(rows, id_kind)
+        with bpe.pieces_of_a_task():
+            for b in batches:
+                id_kind = b.column(0).type
+                for at in range(0, b.num_rows, STEP):
+                    for doc_id, text in zip(b.column(0).slice(at, STEP).to_pylist(), b.column(1).slice(at, STEP).to_pylist()):
+                        rows += packer.add(doc_id, text)
+                    if len(rows) > 8192:
+                        yield out(rows, id_kind)
+                        rows = []
+            rows += packer.flush()
+            if rows:
+                yield out(rows, id_kind)
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
