@@ -1,12 +1,14 @@
 """Licence scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment confirms.
 
 All in DataFrame functions. For a template of t five-word shingles, texts are cut into windows of t + s shingles that
-start every s = max(1, t // 4) shingles, so every aligned copy lies whole in a window, at a similarity of t / (t + s), at
-least 0.8 for t of 4 and more, and 1/2 for less. BANDS bands of one minimum each are compared: a copy is retrieved with
-probability 1 - (1 - t / (t + s)) ** BANDS, over 0.99999 (0.996 where t is under 4, and there each shingle of the template is a minimum of some
-band). A window can share a minimum with a template only if it holds that very shingle, so windows are formed only around
-shingles that are some template's minimum: a membership test on each shingle against a fixed set of at most
-BANDS entries a template. Windows that share a band are confirmed if they hold at least CONTAINED of the template's shingles.
+start every s = max(1, t // 4) shingles, so every aligned copy lies whole in a window. BANDS bands of one minimum each are
+compared. A window that holds CONTAINED = 0.8 of the template's shingles has a similarity of 0.8 t / (1.2 t + s) at least:
+0.55 for t of 4 and more, so it shares a band with probability 1 - 0.45 ** BANDS, over 0.999997, edited or not; for t under
+4 every shingle of the template counts as a minimum. A window can share a minimum with a template only if it holds
+that very shingle, so only windows that hold some template's minimum are formed, and all of those: a membership test on
+each shingle against a fixed set of at most BANDS entries a template. Windows that share a band are confirmed if they hold
+at least CONTAINED of the template's shingles. Shingles are compared by a 64-bit hash: two different ones are taken for the
+same with probability 2 ** -64 a pair.
 
 Words are as for the other operators, lower-cased, without the punctuation in IGNORED. Null and short texts match nothing,
 and a template of fewer than WORDS words is an error.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pixelflow.llm.common import let, words_of
 
-BANDS, WORDS, CONTAINED = 8, 5, 0.8
+BANDS, WORDS, CONTAINED = 16, 5, 0.8
 IGNORED = ".,;:()\"'`"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,28 +49,19 @@ def _shingles(text: Column) -> Column:
     return let(_words(text), lambda w: F.when(F.size(w) >= WORDS, at(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _minimum(window: str, seed: int) -> Column:
-    return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(seed))))
-
-
-def _seeds() -> list[int]:
-    x, out = 0x243F6A8885A308D3, []
-    for _ in range(BANDS):
-        x = (x * 6364136223846793005 + 1442695040888963407) & (1 << 64) - 1
-        out.append(x - (1 << 64) if x >> 63 else x)
-    return out
-
-
-SEEDS = _seeds()
+def _minimum(window: Column, band: int) -> Column:
+    """The shingle that comes first in the band's order."""
+    return F.array_min(F.transform(window, lambda x: F.struct(F.xxhash64(x, F.lit(band)).alias("h"), x.alias("x"))))["x"]
 
 
 def prepared(spark, templates: dict[str, str]) -> list[tuple]:
     """(name, shingles, minima by band) of each template, hashed by the same expressions as the texts; an error if one has
     fewer than WORDS words."""
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _shingles(F.col("text")).alias("h")).collect()
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").select("name", _shingles(F.col("text")).alias("h"))
+    rows = rows.select("name", "h", F.array(*(_minimum(F.col("h"), k) for k in range(BANDS))).alias("low")).collect()
     if short := [r["name"] for r in rows if not r["h"]]:
         raise ValueError(f"templates of fewer than {WORDS} words can't be found: {', '.join(short)}")
-    return [(r["name"], list(r["h"]), [min(x ^ s for x in r["h"]) for s in SEEDS]) for r in rows]
+    return [(r["name"], list(r["h"]), list(r["low"])) for r in rows]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,23 +69,27 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     containment are those of its best window (the first of the best)."""
     spark = docs.sparkSession
     known = prepared(spark, templates or TEMPLATES)
-    anchors = []  # (shingle, template, its place there, length, stride)
+    lens = [len(h) for _, h, _ in known]
+    strides = [max(1, n // 4) for n in lens]
+    anchors: dict[int, list[int]] = {}  # shingle: templates that have it for a minimum
     for t, (_, h, low) in enumerate(known):
-        for x in sorted({m ^ s for m, s in zip(low, SEEDS)} | (set(h) if len(h) < 4 else set())):
-            anchors += [(x, t, o, len(h), max(1, len(h) // 4)) for o, y in enumerate(h) if y == x]
-    rare = sorted({a[0] for a in anchors})
+        for x in {*low, *(h if len(h) < 4 else ())}:
+            anchors.setdefault(x, []).append(t)
+    rare = sorted(anchors)
     rows = docs.select(F.col(id_col), _shingles(F.col(text_col)).alias("h"))
     rows = rows.filter(F.exists("h", lambda x: x.isin(rare)))
+    of = F.create_map(*(c for x in rare for c in (F.lit(x), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(lens[t]).alias("len"), F.lit(strides[t]).alias("stride")) for t in anchors[x])))))
     at = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(rare))
-    around = F.broadcast(spark.createDataFrame(anchors, "x long, t int, o int, len int, stride int"))
+    last = lambda w: F.floor((F.size("h") - 1) / w["stride"])  # noqa: E731  every shingle lies in a window, the last ones may be short
+    first = lambda s, w: F.greatest(F.floor((s["i"] - w["len"]) / w["stride"]), F.lit(0))
+    windows = lambda s, w: F.transform(F.sequence(first(s, w).cast("int"), F.least(F.floor(s["i"] / w["stride"]), last(w)).cast("int")), lambda j: F.struct(w["t"].alias("t"), (j * w["stride"]).alias("begin"), (w["len"] + w["stride"]).alias("size")))
+    around = F.transform(at, lambda s: F.flatten(F.transform(F.element_at(of, s["x"]), lambda w: windows(s, w))))
     side = F.broadcast(spark.createDataFrame([(k, name, h, low) for k, (name, h, low) in enumerate(known)], "t int, licence string, th array<long>, low array<long>"))
-    found = rows.withColumn("at", F.explode(at)).join(around, F.col("at.x") == F.col("x"))
-    found = found.withColumn("j", F.greatest(F.floor((F.col("at.i") - F.col("o")) / F.col("stride")), F.lit(0)).cast("int"))
-    window = F.slice("h", F.col("j") * F.col("stride") + 1, F.col("len") + F.col("stride"))
-    found = found.select(id_col, "t", (F.col("j") * F.col("stride")).alias("begin"), window.alias("win")).join(side, "t")
+    found = rows.withColumn("w", F.explode(F.array_distinct(F.flatten(around))))
+    found = found.select(id_col, F.col("w.t").alias("t"), F.col("w.begin").alias("begin"), F.slice("h", F.col("w.begin") + 1, F.col("w.size")).alias("win")).join(side, "t")
     shared = F.lit(False)
-    for k, seed in enumerate(SEEDS):
-        shared = shared | (_minimum("win", seed) == F.get("low", F.lit(k)))
+    for k in range(BANDS):
+        shared = shared | (_minimum(F.col("win"), k) == F.get("low", F.lit(k)))
     held = F.array_intersect("th", "win")
     found = found.filter(shared | (F.size("th") < 4)).withColumn("containment", F.size(held) / F.size(F.array_distinct("th")))
     found = found.filter(F.col("containment") >= CONTAINED)
