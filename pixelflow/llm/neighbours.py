@@ -14,8 +14,12 @@ can't reach the best found. Equal vectors are one entry of the index, whose smal
 Vectors and queries are dealt into blocks of bounded size, and every query block meets every vector block, where the
 inverted files of that block are built; only each meeting's best are shuffled on. All vectors are indexed.
 
-Null vectors, zero vectors, those with null or non-finite components, and those not as long as most take no part, nor do rows with
-null ids. Repeated queries are asked once; a repeated vector is found as often as it comes. Ties go to the smaller id."""
+The share is what recall needs where directions are spread evenly, as the README's figures show; a fixed number of
+candidates loses ever more of the true neighbours as such a table grows.
+
+Null vectors, zero vectors, those with null or non-finite components, and those not as long as most take no part, nor do
+rows with null ids. A query's own row is no candidate; another row with its id is. A repeated id is asked as often as it
+comes, and found as often. Ties go to the smaller id."""
 
 from __future__ import annotations
 
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from pixelflow.llm.common import materialize
 
 PIVOTS, NEAREST = 512, 48
-RERANK, LEAST_RERANK = 0.12, 512  # share and least number of a band's vectors that are ranked exactly
+RERANK, LEAST_RERANK = 0.12, 8  # share of a band's vectors that are ranked exactly, and the least number of them by k
 BANDS_PER_DOUBLING = 8  # lengths within a band differ by 9 % at most
-VECTOR_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 13  # rows at most, in expectation
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 13  # rows at most, in expectation
 
 
 def places(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -75,31 +79,32 @@ def _products(x: np.ndarray, vec: np.ndarray) -> np.ndarray:
 class Block:
     """Vectors of a block, equal ones once, by length band from the longest on, and their inverted files."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, nearest: int):
-        by_id = np.argsort(ids, kind="stable")
-        ids, x = ids[by_id], np.ascontiguousarray(x[by_id]) + 0.0  # no negative zeros
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, pivots: np.ndarray, nearest: int):
+        by_id = np.lexsort((rows, ids))
+        ids, rows, x = ids[by_id], rows[by_id], np.ascontiguousarray(x[by_id]) + 0.0  # no negative zeros
         _, first, member = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
         unit, length = _unit(x[first])
         by_length = np.argsort(-length, kind="stable")
         place = np.empty(len(first), np.int64)
         place[by_length] = np.arange(len(first))
         member = place[member.ravel()]
-        self.ids = ids[np.argsort(member, kind="stable")]  # by vector, then id
+        by_vector = np.argsort(member, kind="stable")
+        self.ids, self.rows = ids[by_vector], rows[by_vector]  # by vector, then id
         self.start = np.searchsorted(np.sort(member), np.arange(len(first) + 1))
         self.x, self.length = x[first][by_length], length[by_length]
         band = np.floor(self.length * BANDS_PER_DOUBLING + 0.5)
         self.bands = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(first)]
         self.pivots, self.files = pivots, Files(places(unit[by_length], pivots, nearest), len(pivots))
 
-    def nearest_to(self, qid: int, vec: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the block's ``k`` nearest found, without ``qid``."""
+    def nearest_to(self, own: int, vec: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, rows and scores of the block's ``k`` nearest found, without the row ``own``."""
         common = self.files.common(places(unit[None], self.pivots, self.files.nearest)[0])
         reach = np.log2(np.abs(vec).max()) + np.log2(np.sqrt(np.square(vec / np.abs(vec).max()).sum()))
-        ids, score = np.zeros(0, np.int64), np.zeros(0)
+        ids, rows, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for low, high in zip(self.bands, self.bands[1:]):
             if len(score) == k and np.exp2(min(self.length[low] + reach, 1023.0)) * (1 + 1e-9) < score[-1]:
                 break  # no vector from here on is long enough
-            few = min(high - low, max(LEAST_RERANK, int(np.ceil(RERANK * (high - low)))))
+            few = min(high - low, max(LEAST_RERANK * k, int(np.ceil(RERANK * (high - low)))))
             near = low + (np.argpartition(-common[low:high], few - 1)[:few] if few < high - low else np.arange(high - low))
             rough = self.x[near] @ vec
             if len(near) > k + 1:  # those that can't be among the best, by more than rounding, needn't be summed again
@@ -108,12 +113,12 @@ class Block:
             exact_score = _products(self.x[near], vec)
             size = np.minimum(self.start[near + 1] - self.start[near], k + 1)
             at = np.repeat(self.start[near] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            ids, score = np.concatenate([ids, self.ids[at]]), np.concatenate([score, np.repeat(exact_score, size)])
-            other = ids != qid
-            ids, score = ids[other], score[other]
-            best = np.lexsort((ids, -score))[:k]
-            ids, score = ids[best], score[best]
-        return ids, score
+            ids, rows = np.concatenate([ids, self.ids[at]]), np.concatenate([rows, self.rows[at]])
+            score = np.concatenate([score, np.repeat(exact_score, size)])
+            best = np.lexsort((rows, ids, -score))
+            best = best[rows[best] != own][:k]
+            ids, rows, score = ids[best], rows[best], score[best]
+        return ids, rows, score
 
 
 def _valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -137,33 +142,32 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     if not lengths:
         return spark.createDataFrame([], schema)
     n, dim = lengths[0]["count"], lengths[0]["d"]
-    valid = materialize(valid.filter(F.size("vec") == dim), "vectors")
+    valid = materialize(valid.filter(F.size("vec") == dim).withColumn("row", F.monotonically_increasing_id()), "vectors")
     drawn = valid.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(min(PIVOTS, max(1, n // 2))).toPandas()
     pivots = spark.sparkContext.broadcast(_unit(np.stack(drawn["vec"].to_numpy()).astype(np.float64))[0])
     nearest = min(NEAREST, len(drawn))
     n_queries = valid.filter(is_query).count()
-    vector_blocks = max(-(-n // VECTOR_BLOCK), min(12, -(-n // 1024)))
+    vector_blocks = -(-n // VECTOR_BLOCK)
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    block = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
+    block = lambda blocks, seed: F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = valid.select("id", "vec", block(vector_blocks, 1).alias("v"), every(query_blocks).alias("q"))
-    asked = valid.filter(is_query).dropDuplicates(["id"]).select("id", "vec", block(query_blocks, 2).alias("q"), every(vector_blocks).alias("v"))
+    left = valid.select("id", "row", "vec", block(vector_blocks, 1).alias("v"), every(query_blocks).alias("q"))
+    asked = valid.filter(is_query).select("id", "row", "vec", block(query_blocks, 2).alias("q"), every(vector_blocks).alias("v"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "query_row": [], "vec_id": [], "vec_row": [], "score": []}
         if a.num_rows and b.num_rows:
-            block = Block(a["id"].to_numpy(), _stack(a["vec"]), pivots.value, nearest)
+            block = Block(a["id"].to_numpy(), a["row"].to_numpy(), _stack(a["vec"]), pivots.value, nearest)
             y = _stack(b["vec"])
-            for qid, vec, unit in zip(b["id"].to_numpy(), y, _unit(y)[0]):
-                ids, score = block.nearest_to(qid, vec, unit, k)
-                out["query_id"].append(np.full(len(ids), qid))
-                out["vec_id"].append(ids)
-                out["score"].append(score)
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: np.concatenate([*v, np.zeros(0, kinds[c])]).astype(kinds[c]) for c, v in out.items()})
-
-    met = left.groupBy("v", "q").cogroup(asked.groupBy("v", "q")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for qid, own, vec, unit in zip(b["id"].to_numpy(), b["row"].to_numpy(), y, _unit(y)[0]):
+                found = block.nearest_to(own, vec, unit, k)
+                for c, v in zip(out, (np.full(len(found[0]), qid), np.full(len(found[0]), own), *found)):
+                    out[c].append(v)
+        kind = lambda c: np.float64 if c == "score" else np.int64
+        return pa.table({c: np.concatenate([*v, np.zeros(0, kind(c))]).astype(kind(c)) for c, v in out.items()})
+
+    met = left.groupBy("v", "q").cogroup(asked.groupBy("v", "q")).applyInArrow(meet, "query_id long, query_row long, vec_id long, vec_row long, score double")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
