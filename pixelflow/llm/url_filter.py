@@ -4,11 +4,16 @@ Level 1 encodes the listed keys, level 2 the keys of the corpus that level 1 tak
 listed keys that level 2 takes for mistakes, and so on until a level has no mistakes. Over the complete universe of the
 corpus's keys (every host and every parent domain) the answer is exact, and pages are judged by bit tests, without joins.
 
+Only names that can be listed are keys: those of at most as many labels as the longest listed domain has, so a host of
+many thousand dots costs no more than another. Lists too long for one broadcast are dealt into shards, and the pages are
+judged shard after shard, each pass written to the shared folder before the next one's filters are built.
+
 Null urls and urls without ``://`` have an empty host and path, fit no rule and no key: allowed. Ties between rules are
 broken by the longer rule text, then by its order. Empty tables give empty results; extra columns are kept out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelflow.llm.common import materialize
+from pixelflow.llm.common import free, materialize
 
 BITS_PER_KEY, HASHES = 10, 6
 MAX_BITS = 1 << 29  # 64 MB: largest filter that is broadcast at once; longer ones are dealt into shards of this size
@@ -43,11 +48,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domains_of(host: Column) -> Column:
-    """The host and its parent domains; none for an empty host."""
-    parts = F.split(host, "\\.")
-    n = F.size(parts)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), ".")))
+def domains_of(host: Column, most: int) -> Column:
+    """The host and its parent domains, as far as they have ``most`` labels at most; none for an empty host."""
+    tail = F.split(F.substring_index(host, ".", -most), "\\.")
+    n = F.size(tail)
+    return F.when((host == "") | F.lit(most < 1), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(tail, i, n - i + 1), ".")))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -121,12 +126,16 @@ def _tested(keys: DataFrame, level: int, bits: int, words: np.ndarray) -> DataFr
 
 
 def build(universe: DataFrame, shards: int = 1) -> list[Cascade]:
-    """Cascades over ``universe`` (h1, h2, listed; distinct keys), one for each shard of the keys."""
-    out = []
+    """All of ``cascades`` at once."""
+    return list(cascades(universe, shards))
+
+
+def cascades(universe: DataFrame, shards: int = 1) -> Iterator[Cascade]:
+    """Cascades over ``universe`` (h1, h2, listed; distinct keys), one after the other for each shard of the keys."""
     for s in range(shards):
         part = universe.filter(F.pmod("h2", F.lit(shards)) == s) if shards > 1 else universe
         inside, outside = part.filter("listed").drop("listed"), part.filter("not listed").drop("listed")
-        levels, sizes = [], []
+        levels, sizes, made = [], [], []
         for level in range(MAX_LEVELS):
             n = inside.count()
             if not n:
@@ -135,11 +144,12 @@ def build(universe: DataFrame, shards: int = 1) -> list[Cascade]:
             words = _bits(inside, level, bits)
             levels.append(words)
             sizes.append(bits)
-            inside, outside = materialize(_tested(outside, level, bits, words), "cascade"), inside
+            made.append(materialize(_tested(outside, level, bits, words), "cascade"))
+            inside, outside = made[-1], inside
         else:
             raise RuntimeError("two keys share both hashes")
-        out.append(Cascade(levels, sizes))
-    return out
+        free(*made)
+        yield Cascade(levels, sizes)
 
 
 def _hashed(keys: Column) -> Column:
@@ -152,21 +162,28 @@ def judge(pages: DataFrame, rules: list[Rule], listed_domains: DataFrame, id_col
     The filters' size is known before they are built, from the number of listed keys: at most MAX_BITS are broadcast at a
     time, and longer lists are tested shard after shard."""
     parsed = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    most = listed_domains.agg(F.coalesce(F.max(F.size(F.split("domain", "\\."))), F.lit(0))).first()[0]
     hosts = parsed.select("host").distinct()
-    keys = hosts.select(F.explode(domains_of(F.col("host"))).alias("key")).distinct()
+    keys = hosts.select(F.explode(domains_of(F.col("host"), most)).alias("key")).distinct()
     listed = listed_domains.select(F.col("domain").alias("key")).distinct().withColumn("listed", F.lit(True))
     universe = materialize(keys.join(listed, "key", "left").select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(7)).alias("h2"), F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
     n = universe.filter("listed").count()
     shards = max(1, -(-2 * n * BITS_PER_KEY // MAX_BITS))
-    out = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("keys", _hashed(domains_of(F.col("host"))))
-    hit = F.lit(False)
-    for s, cascade in enumerate(build(universe, shards)):
+    out = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("keys", _hashed(domains_of(F.col("host"), most))).withColumn("listed", F.lit(False))
+    judged = None
+    for s, cascade in enumerate(cascades(universe, shards)):
         shared = pages.sparkSession.sparkContext.broadcast(cascade)
-        hit = hit | _member(shared, s, shards)(F.col("keys.h1"), F.col("keys.h2"))
+        out = out.withColumn("listed", F.col("listed") | _member(shared, s, shards)(F.col("keys.h1"), F.col("keys.h2")))
+        if s + 1 < shards:  # written, so that this shard's filters can go
+            before, judged = judged, materialize(out, "judged")
+            out = judged
+            shared.unpersist()
+            if before is not None:
+                free(before)
     verdicts = F.lit(None).cast("string")
     for r in rules:
         verdicts = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(verdicts)
-    return out.withColumn("listed", hit).select(id_col, "host", "path", "rule", F.coalesce(verdicts, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
+    return out.select(id_col, "host", "path", "rule", F.coalesce(verdicts, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
 
 
 def _member(shared, shard: int, shards: int):
