@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelflow.llm.common import materialize
+from pixelflow.llm.common import free, materialize
 
 WORDS, THRESHOLD = 5, 85  # words in a shingle; percent
 BANDS, ROWS, BITS = 28, 5, 4
@@ -177,9 +177,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
         new = materialize(jump.select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        free(labels)
         if not new.filter("old != label").limit(1).count():
+            free(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
 
 
 def _slot_counts(texts: DataFrame) -> np.ndarray:
@@ -255,13 +257,18 @@ def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", t
 
     star = member.filter("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = star.groupBy("b").agg(F.max(F.struct(F.col("shared"), (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    sure = materialize(confirmed(materialize(alike(best), "pairs"), texts, threshold), "links")
+    best_pairs = materialize(alike(best), "pairs")
+    sure = materialize(confirmed(best_pairs, texts, threshold), "links")
     linked = components(sure)
+    free(best_pairs, sure)
 
-    placed = member.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    placed = materialize(member.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "placed")
+    free(buckets, member)
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
     rest = placed.join(mixed, "key").select(F.col("rep").alias("doc_id"), "label").distinct()
-    drafts = materialize(_prefixes(materialize(texts.join(rest, "doc_id"), "mixed"), threshold), "prefixes")
+    unsure = materialize(texts.join(rest, "doc_id"), "mixed")
+    drafts = materialize(_prefixes(unsure, threshold), "prefixes")
+    free(unsure, placed)
     prefix = drafts.select("rep", "label", F.explode("prefix").alias("h"))
     several = prefix.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
     side = prefix.select("h", "rep").join(several, "h").join(drafts.select("rep", "label", "bits"), "rep").join(signs, "rep")
@@ -271,11 +278,18 @@ def group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", t
     late = confirmed(left, texts, threshold)
     for x in ("a", "b"):
         late = late.join(linked.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-    joined = components(materialize(late.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "links"))
+    late = materialize(late.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "links")
+    free(left, drafts, texts)
+    joined = components(late)
+    free(late)
 
     home = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("first"))
-    home = home.join(joined.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("label", "first").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(home, "set_key", "left")
+    home = materialize(home.join(joined.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("label", "first").alias("component_id")), "homes")
+    free(classes)
+    # rows without a set stay out of the join, where they would all meet in one task
+    rows = signed.select("doc_id", "n_shingles", "set_key")
+    out = rows.filter("set_key is not null").join(home, "set_key", "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
