@@ -1,27 +1,28 @@
 """Positions and neighbours in a global order without a global sort in one task.
 
-Values are dealt into SPANS equal spans of the key between its smallest and largest value; a window works within a span
-(and scope), and one row for each span carries counts or first values across. The spans' tables have at most SPANS rows
-a scope. A span that holds much of the data is sorted in one task, with spill; keys spread over time avoid that."""
+Values are dealt into at most SPANS spans of the key, between its approximate quantiles (mergeable sketches, a pass over the
+key alone), so spans hold like numbers of rows wherever the key's values lie; a window works within a span (and scope),
+and one row for each span carries counts or first values across. The spans' tables have at most SPANS rows a scope. Only
+rows that share one key stay together, sorted in one task, with spill. Null keys are a span of their own, the last."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPANS = 1024
+SPANS = 512
 
 
 def spanned(df: DataFrame, key: str, scope: list[str]) -> DataFrame:
-    """``df`` with ``_span``."""
-    ends = df.groupBy(*scope).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    ends = ends.withColumnsRenamed({c: f"_e_{c}" for c in scope})
-    on = F.lit(True)
-    for c in scope:
-        on = on & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
-    at = (F.col(key) - F.col("_lo")).cast("double") / F.greatest((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(1e-30)) * (SPANS - 1)
-    side = ends if scope else F.broadcast(ends)
-    return df.join(side, on, "left").withColumn("_span", F.floor(at).cast("int")).drop("_lo", "_hi", *(f"_e_{c}" for c in scope))
+    """``df`` with ``_span``, which never falls as the key grows; the same spans serve all scopes."""
+    keys = df.select(F.col(key).cast("double").alias("_k")).filter("_k is not null and not isnan(_k)")
+    bounds = keys.approxQuantile("_k", [k / SPANS for k in range(1, SPANS)], 0.5 / SPANS)
+    inner = sorted({b for b in bounds if abs(b) != float("inf")})
+    if not inner:
+        return df.withColumn("_span", F.lit(0))
+    deal = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_k", outputCol="_s", handleInvalid="keep")
+    return deal.transform(df.withColumn("_k", F.col(key).cast("double"))).withColumn("_span", F.col("_s").cast("int")).drop("_k", "_s")
 
 
 def _with_span_table(df: DataFrame, table: DataFrame, scope: list[str], cols: list[str]) -> DataFrame:
