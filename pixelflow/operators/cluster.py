@@ -1,15 +1,21 @@
 """Grouping neighbouring hits: per-shot density clusters and time-ordered greedy centroids.
 
-Both run as grouped maps over hash buckets of their groups (shots, or pieces between gaps), since a call for each group
-would cost more than its work."""
+Both deal their groups (shots, or pieces between gaps) over Spark's shuffle partitions, sort within them and stream them
+through Arrow batches: a task holds one shot, or the open clusters of one piece, whatever the partition's size, and
+adaptive execution sizes partitions by bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelflow.functions.ordering import SPANS, spanned
+
+DENSE = 512  # points up to which all pairs of a shot are compared at once
 Z_NS = 500.0  # time of flight, in ns, that is worth eps
 
 
@@ -25,55 +31,97 @@ def neighbours(points: DataFrame, eps: float, keys: list[str], pid: str = "pid")
     return left.join(right, [*keys, "cx", "cy", "cz"]).filter(near & (F.col(pid) != F.col("other"))).select(*keys, pid, "other")
 
 
+def _near(xyz: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of points within eps: all at once for few points, else cell by cell with the cells that follow it."""
+    n = len(xyz)
+    if n <= DENSE:
+        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+        i, j = np.nonzero(d <= eps)
+        return i[i < j], j[i < j]
+    cells, of = np.unique(np.floor(xyz / eps).astype(np.int64), axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(of.ravel()))[:-1])
+    place = {c: k for k, c in enumerate(map(tuple, cells.tolist()))}
+    after = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
+    left, right = [], []
+    for (a, b, c), k in place.items():
+        mine = members[k]
+        others = np.concatenate([mine, *(members[o] for da, db, dc in after if (o := place.get((a + da, b + db, c + dc))) is not None)])
+        d = np.sqrt(((xyz[mine][:, None] - xyz[others][None]) ** 2).sum(axis=2))
+        i, j = np.nonzero(d <= eps)
+        fresh = (j >= len(mine)) | (i < j)  # within the cell, each pair once
+        left.append(mine[i[fresh]])
+        right.append(others[j[fresh]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    return np.minimum(left, right), np.maximum(left, right)
+
+
 def _labels(xyz: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Components of core points, numbered by their first point; -1 for the rest. Points are met through grid cells."""
+    """Components of core points, numbered by their first point; -1 for the rest."""
     n = len(xyz)
-    cells: dict[tuple, list[int]] = {}
-    place = np.floor(xyz / eps).astype(np.int64)
-    for i, c in enumerate(map(tuple, place.tolist())):
-        cells.setdefault(c, []).append(i)
-    near: list[np.ndarray] = []
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    for i, (a, b, c) in enumerate(place.tolist()):
-        got = np.array([j for da, db, dc in steps for j in cells.get((a + da, b + db, c + dc), ())], np.int64)
-        d = np.sqrt(((xyz[got] - xyz[i]) ** 2).sum(axis=1))
-        near.append(got[(d <= eps) & (got != i)])
-    core = np.array([len(x) >= min_points for x in near], bool)
-    out, label = np.full(n, -1, np.int64), 0
-    for i in range(n):
-        if core[i] and out[i] < 0:
-            out[i], todo = label, [i]
-            while todo:
-                for j in near[todo.pop()]:
-                    if core[j] and out[j] < 0:
-                        out[j] = label
-                        todo.append(j)
-            label += 1
+    i, j = _near(xyz, eps)
+    core = np.bincount(i, minlength=n) + np.bincount(j, minlength=n) >= min_points
+    joined = core[i] & core[j]
+    i, j, root = i[joined], j[joined], np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.full(n, -1, np.int64)
+    out[core] = np.unique(root[core], return_inverse=True)[1]
     return out
 
 
-def density(points: DataFrame, eps: float, min_points: int, shot: str = "shot", order: list[str] = ("pid",), buckets: int = 200) -> DataFrame:
-    """``points`` (with x, y, tof in seconds) with ``cluster``: from 0 within each shot, -1 for noise. Border points are noise."""
-    scaled = points.withColumn("_b", F.pmod(F.xxhash64(shot), F.lit(buckets)))
-    fields = [f for f in points.schema.fields]
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of a stream sorted by ``key``: tables of some of them, and where each starts; a group may go over batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = b.column(key)
+        value, null = c.drop_null().to_numpy(zero_copy_only=False), c.is_null().to_numpy(zero_copy_only=False)
+        at = np.maximum(np.cumsum(~null) - 1, 0)
+        value = value[at] if len(value) else np.zeros(b.num_rows)
+        differs = np.append(False, (value[1:] != value[:-1]) & ~(null[1:] & null[:-1]) | (null[1:] != null[:-1]))
+        differs[0] = bool(held) and held[-1].column(key)[-1].as_py() != c[0].as_py()
+        cuts = np.flatnonzero(differs)
+        if not len(cuts):
+            held.append(b)
+            continue
+        before = sum(x.num_rows for x in held)
+        starts = np.append(0, cuts[:-1] + before)
+        yield pa.Table.from_batches([*held, b.slice(0, cuts[-1])]), np.unique(starts)
+        held = [b.slice(cuts[-1])]
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
+
+
+def density(points: DataFrame, eps: float, min_points: int, shot: str = "shot", order: list[str] = ("pid",)) -> DataFrame:
+    """``points`` (with x, y, tof in seconds) with ``cluster``: from 0 within each shot, -1 for noise. Border points are
+    noise, and so is all without a shot."""
+    fields = points.schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "cluster long"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([shot, *order], kind="stable").reset_index(drop=True)
-        out = np.empty(len(pdf), np.int64)
-        xyz = np.column_stack([pdf["x"], pdf["y"], pdf["tof"] * (eps / (Z_NS * 1e-9))]).astype(np.float64)
-        for at in pdf.groupby(shot, sort=False).indices.values():
-            out[at] = _labels(xyz[at], eps, min_points)
-        return pdf[[f.name for f in fields]].assign(cluster=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _groups(batches, shot):
+            at = lambda c: t.column(c).cast(pa.float64()).to_numpy()
+            xyz = np.column_stack([at("x"), at("y"), at("tof") * (eps / (Z_NS * 1e-9))])
+            found = np.concatenate([_labels(part, eps, min_points) for part in np.split(xyz, starts[1:])])
+            found[t.column(shot).is_null().to_numpy()] = -1
+            yield from t.append_column("cluster", pa.array(found)).combine_chunks().to_batches()
 
-    return scaled.groupBy("_b").applyInPandas(run, schema)
+    return points.repartition(shot).sortWithinPartitions(shot, *order).mapInArrow(run, schema)
 
 
 def numbered(clustered: DataFrame, shot: str = "shot") -> DataFrame:
     """Labels that count up over shots in ascending order: ``label``, -1 for noise."""
     sizes = clustered.filter("cluster >= 0").groupBy(shot).agg((F.max("cluster") + 1).alias("_n"))
-    from pixelflow.functions.ordering import SPANS, spanned
-
     spans = spanned(sizes, shot, [])
     total = spans.groupBy("_span").agg(F.sum("_n").alias("_t"))
     assert SPANS <= 4096  # rows of the next window
@@ -84,40 +132,51 @@ def numbered(clustered: DataFrame, shot: str = "shot") -> DataFrame:
     return out.withColumn("label", F.when(F.col("cluster") < 0, F.lit(-1)).otherwise(F.col("_start") + F.col("cluster")).cast("long")).drop("_shot", "_start")
 
 
-def greedy_cells(x, y, toa, tot, eps_space: float, eps_time: float, slots: int) -> list[tuple]:
-    """One pass over hits in time order: (x, y, toa, tot) of each cluster, in the order in which they close."""
-    open_: list[list | None] = [None] * slots
-    out = []
-    for hx, hy, ht, hw in zip(x, y, toa, tot):
-        best, far = -1, None
-        for k, c in enumerate(open_):
+class Cells:
+    """Open clusters of a pass over hits in time order; ``add`` gives those that a hit closes, ``close`` the rest."""
+
+    def __init__(self, eps_space: float, eps_time: float, slots: int):
+        self.eps_space, self.eps_time, self.open = eps_space, eps_time, [None] * slots
+
+    def add(self, x, y, t, w) -> list[tuple]:
+        best, far, out = -1, None, []
+        for k, c in enumerate(self.open):
             if c is None:
                 continue
-            if ht - c[2] > eps_time:
+            if t - c[2] > self.eps_time:
                 out.append(tuple(c))
-                open_[k] = None
+                self.open[k] = None
                 continue
-            d = abs(hx - c[0]) + abs(hy - c[1])
-            if d <= eps_space and (far is None or d < far):
+            d = abs(x - c[0]) + abs(y - c[1])
+            if d <= self.eps_space and (far is None or d < far):
                 best, far = k, d
         if best >= 0:
-            c = open_[best]
-            if hw > c[3]:
-                c[0], c[1], c[3] = hx, hy, hw
-            continue
-        free = next((k for k, c in enumerate(open_) if c is None), None)
+            c = self.open[best]
+            if w > c[3]:
+                c[0], c[1], c[3] = x, y, w
+            return out
+        free = next((k for k, c in enumerate(self.open) if c is None), None)
         if free is None:
-            free = min(range(slots), key=lambda k: open_[k][2])
-            out.append(tuple(open_[free]))
-        open_[free] = [hx, hy, ht, hw]
-    return out + [tuple(c) for c in open_ if c is not None]
+            free = min(range(len(self.open)), key=lambda k: self.open[k][2])
+            out.append(tuple(self.open[free]))
+        self.open[free] = [x, y, t, w]
+        return out
 
+    def close(self) -> list[tuple]:
+        out = [tuple(c) for c in self.open if c is not None]
+        self.open = [None] * len(self.open)
+        return out
 
-def greedy(hits: DataFrame, eps_space: float, eps_time: float, slots: int = 64, scope: list[str] = (), buckets: int = 200) -> DataFrame:
+
+def greedy_cells(x, y, toa, tot, eps_space: float, eps_time: float, slots: int) -> list[tuple]:
+    """One pass over hits in time order: (x, y, toa, tot) of each cluster, in the order in which they close."""
+    cells = Cells(eps_space, eps_time, slots)
+    return [c for hit in zip(x, y, toa, tot) for c in cells.add(*hit)] + cells.close()
+
+
+def greedy(hits: DataFrame, eps_space: float, eps_time: float, slots: int = 64, scope: list[str] = ()) -> DataFrame:
     """Centroids x, y, toa, tot of each scope (such as a buffer). Hits are ordered by (toa, x, y, tot) and cut into pieces
     at gaps of more than eps_time, which close every cluster, so pieces are independent."""
-    from pixelflow.functions.ordering import spanned
-
     scope = list(scope)
     # Only gaps within a span of time and the one before its first hit are looked for; a span starts a piece by its own gap test.
     df = spanned(hits, "toa", scope)
@@ -134,15 +193,24 @@ def greedy(hits: DataFrame, eps_space: float, eps_time: float, slots: int = 64,
     cuts = cuts.withColumn("_before", F.sum("_cuts").over(Window.partitionBy(*scope).orderBy("_span")) - F.col("_cuts")).select(*(F.col(c).alias(f"_t_{c}") for c in scope), F.col("_span").alias("_ts"), "_before")
     df = df.join(cuts if scope else F.broadcast(cuts), on, "left").drop("_ts", *(f"_t_{c}" for c in scope))
     df = df.withColumn("_piece", F.col("_before") + F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    types = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in scope), *(f"{c} {types[c]}" for c in ("x", "y", "toa", "tot"))])
-    keyed = df.select(*scope, "_piece", "x", "y", "toa", "tot").withColumn("_b", F.pmod(F.xxhash64(*scope, "_piece"), F.lit(buckets)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*scope, "_piece", "toa", "x", "y", "tot"], kind="stable")
-        out = []
-        for key, part in pdf.groupby([*scope, "_piece"], sort=False):
-            out += [(*key[:-1], *c) for c in greedy_cells(*(part[c].tolist() for c in ("x", "y", "toa", "tot")), eps_space, eps_time, slots)]
-        return pd.DataFrame(out, columns=[*scope, "x", "y", "toa", "tot"])
-
-    return keyed.groupBy("_b").applyInPandas(run, schema)
+    kinds = hits.select(*scope, "x", "y", "toa", "tot").schema
+    keys, values = [*scope, "_piece"], ["x", "y", "toa", "tot"]
+    sorted_ = df.select(*keys, *values).repartition(*keys).sortWithinPartitions(*keys, *values[2:3], "x", "y", "tot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, key, names = Cells(eps_space, eps_time, slots), None, None
+        types = None
+        for b in batches:
+            types = types or [b.schema.field(c).type for c in (*scope, *values)]
+            names, out = [*scope, *values], []
+            for row in zip(*(b.column(c).to_pylist() for c in (*keys, *values))):
+                if row[: len(keys)] != key:
+                    out += [(*key[:-1], *c) for c in cells.close()] if key is not None else []
+                    key = row[: len(keys)]
+                out += [(*key[:-1], *c) for c in cells.add(*row[len(keys) :])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        if rest := ([(*key[:-1], *c) for c in cells.close()] if key is not None else []):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest), types)], names)
+
+    return sorted_.mapInArrow(run, kinds)
