@@ -6,7 +6,8 @@ wide as the window, so an interval touches few of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelflow.functions.ordering import with_index, with_next
@@ -55,18 +56,22 @@ def shot_index(rows: DataFrame, triggers: DataFrame, toa: str = "toa", key: str
 
 
 def interpolated(rows: DataFrame, knots: DataFrame, x: str, out: str, key: str = "tof", value: str = "correction") -> DataFrame:
-    """Piecewise-linear lookup, clamped at both ends. ``knots`` is a correction table: at least two rows, at most MAX_KNOTS."""
+    """Piecewise-linear lookup, clamped at both ends. ``knots`` is a correction table: 2 to MAX_KNOTS rows, which become
+    literals of the expression, so each row costs one binary search and no join. Of equal keys the smallest value counts;
+    null gives null, NaN the last value."""
     n = knots.limit(MAX_KNOTS + 1).count()
     if not 2 <= n <= MAX_KNOTS:
         raise ValueError(f"a correction table has 2 to {MAX_KNOTS} rows")
-    w = Window.orderBy("a")
-    spans = knots.groupBy(F.col(key).cast("double").alias("a")).agg(F.first(F.col(value).cast("double")).alias("fa"))
-    spans = spans.withColumns({"b": F.lead("a").over(w), "fb": F.lead("fa").over(w), "_first": F.row_number().over(w) == 1})
+    table = knots.groupBy(F.col(key).cast("double").alias("a")).agg(F.min(F.col(value).cast("double")).alias("fa")).orderBy("a").collect()
+    at, got = [r["a"] for r in table], [r["fa"] for r in table]
+    slope = [(g - f) / (b - a) for a, b, f, g in zip(at, at[1:], got, got[1:])]
     v = F.col(x).cast("double")
-    inside = (v >= F.col("a")) & (F.col("b").isNull() | (v < F.col("b")))
-    line = F.col("fa") + (v - F.col("a")) * (F.col("fb") - F.col("fa")) / (F.col("b") - F.col("a"))
-    got = rows.join(F.broadcast(spans), inside | (F.col("_first") & (v < F.col("a"))), "left")
-    return got.withColumn(out, F.when(F.col("b").isNull() | (v <= F.col("a")), F.col("fa")).otherwise(line)).drop("a", "fa", "b", "fb", "_first")
+    deal = Bucketizer(splits=[-float("inf"), *at, float("inf")], inputCol="_v", outputCol="_k", handleInvalid="keep")
+    placed = deal.transform(rows.withColumn("_v", v)).withColumn("_k", F.col("_k").cast("int") - 1)
+    of = lambda values: F.get(F.lit(values), F.col("_k"))
+    line = of(got) + (F.col("_v") - of(at)) * of([*slope, 0.0])
+    end = F.when(F.col("_k") < 0, F.lit(got[0])).when(F.col("_k") >= len(at) - 1, F.lit(got[-1])).otherwise(line)
+    return placed.withColumn(out, F.when(F.col("_v").isNull(), F.lit(None)).otherwise(end)).drop("_v", "_k")
 
 
 MAX_KNOTS = 10_000
