@@ -1,12 +1,19 @@
 """Packed fixed-width record files as a Spark data source, to read and to write.
 
 ``spark.read.format("packed").option("kind", "events").load(dir)`` reads every file of the kind under a local or shared
-folder, split at record bounds; a partial record at the end is ignored. Writing gives a file for each task, which appears
-under its name only when its job commits, so a lost or repeated task leaves nothing behind."""
+folder, split at record bounds; a partial record at the end is ignored. Options: ``name`` reads one run's files only,
+``recursive`` (true) goes into subfolders.
+
+Writing gives a file for each task, which appears under its name only when its job commits, so a lost or repeated task
+leaves nothing behind. Options: ``name`` of the run; ``saver``, the number of a writer whose file is replaced when it
+writes again; ``single``, to join the parts, in the order of the partitions, to one file. Append takes the next free
+numbers and never touches a file; overwrite replaces the files of the very run (``name`` with or without a number)."""
 
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
@@ -14,7 +21,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from pixelflow import schemas as S
 
@@ -49,12 +56,26 @@ def _local(path: str) -> Path:
     return Path(path.removeprefix("file://").removeprefix("file:"))
 
 
+def files_of(folder: Path, kind: str, name: str | None = None, recursive: bool = False) -> list[Path]:
+    """The kind's files in a folder, of one run or all."""
+    found = sorted((folder.rglob if recursive else folder.glob)("*" + suffix(kind)))
+    if kind == "centroids":  # whose suffix ends those of merged files too
+        found = [f for f in found if not f.name.endswith(suffix("merged"))]
+    return found if name is None else [f for f in found if _is_of(f.name, name, kind)]
+
+
+def _is_of(file_name: str, name: str, kind: str) -> bool:
+    return re.fullmatch(re.escape(name) + r"(_saver\d+)?" + re.escape(suffix(kind)), file_name) is not None
+
+
 class Reader(DataSourceReader):
     def __init__(self, options):
-        self.kind, self.path = options["kind"], _local(options["path"])
+        self.kind, self.path, self.name = options["kind"], _local(options["path"]), options.get("name")
+        self.recursive = options.get("recursive", "true").lower() == "true"
 
     def partitions(self):
-        width, files = dtype(self.kind).itemsize, [self.path] if self.path.is_file() else sorted(self.path.rglob("*" + suffix(self.kind)))
+        width = dtype(self.kind).itemsize
+        files = [self.path] if self.path.is_file() else files_of(self.path, self.kind, self.name, self.recursive)
         return [Split(str(f), at, min(SPLIT_RECORDS, n - at)) for f in files for n in [f.stat().st_size // width] for at in range(0, n, SPLIT_RECORDS)] or [Split("", 0, 0)]
 
     def read(self, split):
@@ -67,39 +88,71 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(cols, [n for n, _, _ in S.LAYOUTS[self.kind]])
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.kind, self.path, self.name, self.overwrite = options["kind"], _local(options["path"]), options.get("name", "run"), overwrite
+        self.saver, self.single = options.get("saver"), options.get("single", "false").lower() == "true"
         self.job = uuid.uuid4().hex
 
-    def write(self, rows):
-        kind, part = dtype(self.kind), self.path / f".{self.job}-{uuid.uuid4().hex}"
-        self.path.mkdir(parents=True, exist_ok=True)
+    def write(self, batches):
         from pyspark import TaskContext
 
-        held, any_ = [], False
+        kind, part, n = dtype(self.kind), self.path / f".{self.job}-{uuid.uuid4().hex}", 0
+        self.path.mkdir(parents=True, exist_ok=True)
         with open(part, "wb") as f:
-            for r in rows:
-                held.append(tuple(r[n] for n in kind.names))
-                if len(held) == 1 << 16:
-                    f.write(np.array(held, kind).tobytes())
-                    held, any_ = [], True
-            f.write(np.array(held, kind).tobytes())
+            for b in batches:
+                rows = np.empty(b.num_rows, kind)
+                for name in kind.names:
+                    column = b.column(name)
+                    if column.null_count:
+                        raise ValueError(f"a packed record has no place for a null {name}")
+                    values = column.to_numpy(zero_copy_only=False)
+                    if kind[name].kind == "u" and len(values) and not 0 <= values.min() <= values.max() <= np.iinfo(kind[name]).max:
+                        raise ValueError(f"{name} is out of the range of {kind[name]}")
+                    rows[name] = values
+                f.write(rows.tobytes())
+                n += len(rows)
         context = TaskContext.get()
-        return Written([(context.partitionId() if context else 0, str(part), any_ or bool(held))])
+        return Written([(context.partitionId() if context else 0, str(part), n > 0)])
+
+    def _file(self, number: int | None) -> Path:
+        return self.path / f"{self.name}{'' if number is None else f'_saver{number}'}{suffix(self.kind)}"
 
     def commit(self, messages):
         parts = sorted(p for m in messages if m for p in m.parts)
-        full = [p for p in parts if p[2]]
-        if self.overwrite:
-            for old in self.path.glob(f"{self.name}*{suffix(self.kind)}"):
-                old.unlink()
-        for k, (_, path, _) in enumerate(full):
-            tag = f"_saver{k}" if len(full) > 1 else ""
-            os.replace(path, self.path / f"{self.name}{tag}{suffix(self.kind)}")
+        full = [Path(path) for _, path, kept in parts if kept]
         for _, path, kept in parts:
             if not kept:
                 os.unlink(path)
+        if self.single:
+            whole = self.path / f".{self.job}-whole"
+            with open(whole, "wb") as out:
+                for path in full:
+                    with open(path, "rb") as f:
+                        shutil.copyfileobj(f, out, 1 << 20)
+                    os.unlink(path)
+            full = [whole]
+        if self.saver is not None and len(full) > 1:
+            raise ValueError("a numbered saver writes one partition")
+        if self.overwrite or self.saver is not None:
+            old = [self._file(int(self.saver))] if self.saver is not None else files_of(self.path, self.kind, self.name)
+            targets = [self._file(int(self.saver) if self.saver is not None else k if len(full) > 1 else None) for k in range(len(full))]
+            for path, target in zip(full, targets):
+                os.replace(path, target)
+            for path in old:  # what the new files didn't replace goes after they are in place
+                if path not in targets:
+                    path.unlink(missing_ok=True)
+            return
+        number = None if len(full) == 1 and not files_of(self.path, self.kind, self.name) else 0
+        for path in full:
+            while True:
+                try:
+                    os.link(path, self._file(number))  # unlike a rename, a link never replaces a file
+                    break
+                except FileExistsError:
+                    number = 0 if number is None else number + 1
+            os.unlink(path)
+            number = 0 if number is None else number + 1
 
     def abort(self, messages):
         for p in self.path.glob(f".{self.job}-*"):
