@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import re
 from datetime import datetime, timezone
@@ -27,20 +28,21 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Run:
-    """Lazy tables of one run: a folder, or one of its event files."""
+    """Lazy tables of one run: all that a folder holds, or what belongs to the run of one of its event files."""
 
     def __init__(self, spark: SparkSession, path: str, tdc_id: int = 1, edge: int = 0):
         packed.register(spark)
         self.spark, self.path = spark, Path(path)
         self.folder = self.path if self.path.is_dir() else self.path.parent
         self.name = self.folder.name if self.path.is_dir() else stem(self.path.name)
-        meta = sorted(self.folder.glob("*_meta.json" if self.path.is_dir() else f"{self.name}*_meta.json"))
+        meta = sorted(self.folder.glob("*_meta.json" if self.path.is_dir() else f"{glob.escape(self.name)}_meta.json"))
         self.meta = json.loads(meta[0].read_text()) if meta else {}
         self.tdc_id, self.edge = self.meta.get("tdc_id", tdc_id), self.meta.get("edge", edge)
 
     def table(self, kind: str, by: str) -> DataFrame:
         """All rows of a kind, in time order with the other fields as tie-breakers."""
-        rows = self.spark.read.format("packed").option("kind", kind).load(str(self.folder))
+        files = self.spark.read.format("packed").option("kind", kind).option("recursive", "false")
+        rows = (files if self.path.is_dir() else files.option("name", self.name)).load(str(self.folder))
         return rows.orderBy(by, *(c for c in rows.columns if c != by))
 
     @property
@@ -67,14 +69,20 @@ class Run:
         return aggregate.events_of_shots(self.events, start, stop)
 
 
-def write_metadata(folder: str, name: str, tdc_id: int, edge: int, window_ns: tuple[int, int], files: dict, centroiding: dict | None = None, workers: int = 4) -> dict:
-    """``<name>_meta.json`` of a recording."""
-    labels = {v: k for k, v in S.CHANNELS.items()}, {v: k for k, v in S.EDGES.items()}
-    meta = {
-        "format_version": "2.0", "created": datetime.now(timezone.utc).isoformat(), "tdc_id": tdc_id, "tdc_label": labels[0][tdc_id], "edge": edge, "edge_label": labels[1][edge],
-        "event_window_ns": list(window_ns), "num_workers": workers, "centroiding": centroiding or {"enabled": False}, "files": files,
-        "event_dtype": [f"{n}:{c}" for n, c, _ in S.LAYOUTS["events"]], "trigger_dtype": [f"{n}:{c}" for n, c, _ in S.LAYOUTS["triggers"]],
+def metadata(tdc_id: int, edge: int, window_ns: tuple[int, int], files: dict, centroiding: dict | None = None, workers: int = 4) -> dict:
+    """What ``<name>_meta.json`` of a recording holds."""
+    label = lambda codes, code: next(k for k, v in codes.items() if v == code)
+    told = lambda kind: ",".join(f"{n}({c})" for n, c, _ in S.LAYOUTS[kind])
+    return {
+        "format_version": "2.0", "created": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "tdc_id": tdc_id, "tdc_label": label(S.CHANNELS, tdc_id), "edge": edge, "edge_label": label(S.EDGES, edge),
+        "event_window_ns": list(window_ns), "num_workers": workers, "centroiding": {"enabled": False, "eps_space_px": 2, "eps_time_ns": 100.0, "b_size": 16} | (centroiding or {}),
+        "files": {k: None for k in ("events", "triggers", "pixels", "raw")} | files, "event_dtype": told("events"), "trigger_dtype": told("triggers"),
     }
+
+
+def write_metadata(folder: str, name: str, tdc_id: int, edge: int, window_ns: tuple[int, int], files: dict, centroiding: dict | None = None, workers: int = 4) -> dict:
+    """``<name>_meta.json`` in a folder of the driver's file system."""
+    meta = metadata(tdc_id, edge, window_ns, files, centroiding, workers)
     Path(folder).mkdir(parents=True, exist_ok=True)
     (Path(folder) / f"{name}_meta.json").write_text(json.dumps(meta, indent=2))
     return meta
@@ -87,14 +95,27 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run"), kind.alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter("kind is not null")
 
 
+def labelled_run(events: DataFrame, eps: float, min_points: int, tof_max: float, corrections: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
+    """Events up to ``tof_max`` with ``tof_c`` (corrected) and ``cluster`` by shot, -1 for noise. ``scope``: further columns
+    that part shots, such as the file for parity with file-by-file processing."""
+    from pixelflow.operators import cluster, correlate
+
+    scope = list(scope)
+    kept = events.filter(F.col("tof") <= tof_max)
+    kept = correlate.interpolated(kept, corrections, "tot", "_c").withColumn("tof_c", F.col("tof") - F.col("_c")).drop("_c") if corrections is not None else kept.withColumn("tof_c", F.col("tof"))
+    order = ["x", "y", "tof", "tot"]
+    if not scope:
+        return cluster.density(kept, eps, min_points, "t_trigger", order)
+    shots = kept.withColumn("_shot", F.xxhash64("t_trigger", *scope))
+    return cluster.density(shots, eps, min_points, "_shot", ["t_trigger", *scope, *order]).drop("_shot")
+
+
 def centroid_run(events: DataFrame, triggers: DataFrame, eps: float, min_points: int, tof_max: float, corrections: DataFrame | None = None) -> DataFrame:
     """Merged centroids of a run: filter, correct, cluster by shot, weigh, and place among the triggers.
 
     Shots keep their absolute times, so shot_index is the position of the trigger that the hits belong to."""
-    from pixelflow.operators import cluster, correlate
+    from pixelflow.operators import correlate
 
-    kept = events.filter(F.col("tof") <= tof_max).withColumn("pid", F.xxhash64("t_trigger", "x", "y", "tof", "tot"))
-    kept = correlate.interpolated(kept, corrections, "tot", "_c").withColumn("tof_c", F.col("tof") - F.col("_c")).drop("_c") if corrections is not None else kept.withColumn("tof_c", F.col("tof"))
-    labelled = cluster.density(kept, eps, min_points, "t_trigger").filter("cluster >= 0")
+    labelled = labelled_run(events, eps, min_points, tof_max, corrections).filter("cluster >= 0")
     means = aggregate.weighted_centroids(labelled, ["t_trigger", "cluster"], "tof_c").drop("cluster")
     return correlate.shot_index(means, triggers).orderBy("shot_index", "x", "y")
