@@ -48,6 +48,29 @@ def frame_bytes(packets: list[int], min_ts: int, max_ts: int) -> bytes:
     return struct.pack(f"<{len(body) + 1}Q", len(body) * 8 << 48 | S.FRAME_SIGNATURE, *(p & (1 << 64) - 1 for p in body))
 
 
+def reframed(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks of a byte stream, cut anew so that each starts with a frame and holds whole ones: what follows the last frame's
+    start waits for the next chunk, and the rest comes at the end."""
+    carried = b""
+    for chunk in chunks:
+        whole, carried = split_at_last_frame(carried + chunk)
+        if whole:
+            yield whole
+    if carried:
+        yield carried
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """path and bytes at each file's end that are no whole frame: a file that was cut short, or one that goes on in another."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            rest = [len(raw := c.as_py()) - walk(raw)[1] for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rest, pa.int64())], ["path", "bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long").filter("bytes > 0")
+
+
 SCHEMA = "path string, frame long, min_ts long, max_ts long, packets array<long>"
 
 
