@@ -30,6 +30,13 @@ def clipped(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": clip(F.col("x")), "y": clip(F.col("y"))})
 
 
+def shown(events: DataFrame, pixels: DataFrame, mode: str) -> DataFrame:
+    """The stream that a display shows: ``events`` or ``pixels``."""
+    if mode not in ("events", "pixels"):
+        raise ValueError(f"unknown display mode {mode!r}")
+    return events if mode == "events" else pixels
+
+
 def stride(fraction: float) -> int:
     return max(1, round(1 / min(1.0, max(0.01, fraction))))
 
