@@ -34,9 +34,28 @@ lab AS (SELECT shot, pid, min(root) AS root FROM reach GROUP BY ALL),
 clu AS (SELECT shot, pid, dense_rank() OVER (PARTITION BY shot ORDER BY root) - 1 AS cluster FROM lab)"""
 
 ROI = "(VALUES ('early', 0, 60000000), ('middle', 50000000, 300000000), ('late', 300000001, 600000000)) r(roi, lo, hi)"
+REGIONS = "(VALUES ('first', 0, 60000000, -9000000000000000), ('middle', 20000000, 200000000, 5000000000000), ('late', 300000001, 600000000, -9000000000000000)) r(roi, lo, hi, since)"
+CLEARED = 5_000_000_000_000
 CLIP = "greatest(0, least(255, x))"
 
 
+#: The greedy pass as a recursion over the hits of each buffer: 16 slots of open clusters, and those that each hit closes.
+GREEDY = f"""WITH RECURSIVE {BASE},
+h AS (SELECT toa // {DAY} AS buffer, x, y, toa, tot, row_number() OVER (PARTITION BY toa // {DAY} ORDER BY toa, x, y, tot) AS k FROM hi),
+st(buffer, k, slots, closed) AS (
+  SELECT DISTINCT buffer, CAST(0 AS BIGINT), list_transform(range(16), lambda i: CAST(NULL AS STRUCT(x INTEGER, y INTEGER, t BIGINT, w BIGINT))), CAST([] AS STRUCT(x INTEGER, y INTEGER, t BIGINT, w BIGINT)[]) FROM h
+  UNION ALL
+  SELECT buffer, k, list_transform(live, lambda c, i: CASE WHEN i = pos THEN CASE WHEN near IS NULL THEN {{'x': x, 'y': y, 't': toa, 'w': tot}} WHEN tot > c.w THEN {{'x': x, 'y': y, 't': c.t, 'w': tot}} ELSE c END ELSE c END),
+         CASE WHEN near IS NULL AND live[pos] IS NOT NULL THEN list_append(gone, live[pos]) ELSE gone END
+  FROM (SELECT *, CASE WHEN near IS NOT NULL THEN list_position(far, near) WHEN list_contains(taken, false) THEN list_position(taken, false) ELSE list_position(starts, list_min(starts)) END AS pos
+    FROM (SELECT *, list_min(far) AS near, list_transform(live, lambda c: c IS NOT NULL) AS taken, list_transform(live, lambda c: c.t) AS starts
+      FROM (SELECT *, list_transform(live, lambda c: CASE WHEN abs(x - c.x) + abs(y - c.y) <= 40 THEN abs(x - c.x) + abs(y - c.y) END) AS far
+        FROM (SELECT h.buffer, h.k, h.x, h.y, h.toa, h.tot, list_transform(st.slots, lambda c: CASE WHEN h.toa - c.t <= 900000000 THEN c END) AS live, list_filter(st.slots, lambda c: c IS NOT NULL AND h.toa - c.t > 900000000) AS gone
+          FROM st JOIN h ON h.buffer = st.buffer AND h.k = st.k + 1))))),
+done AS (SELECT buffer, unnest(closed) AS c FROM st UNION ALL SELECT buffer, unnest(list_filter(arg_max(slots, k), lambda c: c IS NOT NULL)) FROM st GROUP BY buffer)
+SELECT buffer, c.x AS x, c.y AS y, c.t AS toa, c.w AS tot FROM done"""
+
+
 def _hist(rows: str, col: str, low: int, high: int, bins: int) -> str:
     w = (high - low) / bins
     return f"""SELECT bin, CAST(bin * {w!r} + {low} AS DOUBLE) AS lo, CAST((bin + 1) * {w!r} + {low} AS DOUBLE) AS hi, CAST((bin + 0.5) * {w!r} + {low} AS DOUBLE) AS center, count(*) AS "count" FROM (
@@ -98,4 +117,31 @@ SELECT run, CASE WHEN n_files = 0 THEN 'EMPTY' WHEN made IS NULL THEN 'READY' WH
         "density_labels": po("SELECT pt.shot, pt.pid, coalesce(cluster, -1) AS cluster FROM pt LEFT JOIN clu USING (shot, pid)"),
         "density_numbered": po("SELECT shot, pid, dense_rank() OVER (ORDER BY shot, cluster) - 1 AS label FROM clu"),
         "centroids_weighted": po("SELECT shot, cluster, round(sum(x * tot) / sum(tot), 6) AS x, round(sum(y * tot) / sum(tot), 6) AS y, 0.0::DOUBLE AS tof, max(tot) AS tot FROM pt JOIN clu USING (shot, pid) GROUP BY ALL"),
+            "sorted_hits": ev("SELECT event_id, toa, row_number() OVER (ORDER BY toa, event_id) - 1 AS position FROM hi"),
+        "correlate_offline_by_buffer": more(f"""b AS (SELECT toa // {TICK} AS buffer, toa, row_number() OVER (PARTITION BY toa // {TICK} ORDER BY toa) - 1 AS n, count(*) OVER (PARTITION BY toa // {TICK}) AS size FROM tr WHERE tdc_id = 1 AND edge = 0),
+bt AS (SELECT buffer, toa AS t, max(n) AS event_num FROM b WHERE size >= 2 GROUP BY ALL), bh AS (SELECT *, toa // {TICK} AS buffer FROM hi)""",
+            f"SELECT h.event_id, h.buffer, p.event_num, h.toa - p.t AS tof FROM bh h ASOF JOIN bt p ON h.buffer = p.buffer AND h.toa >= p.t WHERE h.toa - p.t BETWEEN 0 AND {WIN}"),
+        "display_mode": ev("SELECT event_id, 'events' AS mode FROM co UNION ALL SELECT event_id, 'pixels' FROM hi"),
+        "auto_clear_images": ev(f'SELECT toa // {DAY} AS period, {CLIP} AS x, greatest(0, least(255, y)) AS y, count(*) AS "count" FROM hi GROUP BY 1, 2, 3'),
+        "image_since_clear": ev(f'SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, count(*) AS "count" FROM hi WHERE toa >= {CLEARED} GROUP BY 1, 2'),
+        "roi_lifecycle": ev(f'SELECT roi, count(tof) AS "count", CAST(lo AS BIGINT) AS low, CAST(hi AS BIGINT) AS high FROM {REGIONS} LEFT JOIN co ON tof BETWEEN lo AND hi AND toa >= since GROUP BY roi, lo, hi'),
+        "roi_lifecycle_images": ev(f'SELECT roi, {CLIP} AS x, greatest(0, least(255, y)) AS y, count(*) AS "count" FROM co JOIN {REGIONS} ON tof BETWEEN lo AND hi AND toa >= since GROUP BY 1, 2, 3'),
+        "single_roi": ev("""SELECT 'ROI' AS roi, count(*) FILTER (tof BETWEEN 0 AND 100000000) AS "count", CAST(0 AS BIGINT) AS low, CAST(100000000 AS BIGINT) AS high FROM co"""),
+        "accumulator_stats_by_roi": ev("SELECT (SELECT count(*) FROM co) AS total_events, " + ", ".join(f"(SELECT count(*) FROM co WHERE tof BETWEEN {a} AND {b}) AS roi_{n}" for n, a, b in (("early", 0, 60000000), ("middle", 50000000, 300000000), ("late", 300000001, 600000000))) + ", count(*) AS total_pixels, CAST(sum(tot) AS BIGINT) AS pixel_sum FROM hi"),
+        "coalesced_updates": ev(f"SELECT toa // {TICK} AS update, min(toa) AS t_sent, count(*) AS n_batches, CAST(sum(tot) AS BIGINT) AS tot FROM hi GROUP BY 1"),
+        "chunk_diagnostics": more(f"ch AS (SELECT toa // {TICK} AS chunk, count(*) AS n_hits, sum(tot) AS tot FROM hi GROUP BY 1), cn AS (SELECT *, (row_number() OVER (ORDER BY chunk) - 1) // 8 AS block FROM ch)",
+            "SELECT block, count(*) AS n_chunks, CAST(sum(n_hits) AS BIGINT) AS n_hits, CAST(sum(tot) AS BIGINT) AS tot FROM cn GROUP BY 1"),
+        "parse_frames": li("SELECT CAST(k1 AS VARCHAR) AS path, CAST(0 AS BIGINT) AS frame, min(m) AS min_ts, max(m) + 1000 AS max_ts, CAST(count(*) AS INTEGER) AS n_packets FROM li GROUP BY k1 HAVING count(*) > 1"),
+        "parse_packets": li("SELECT CAST(k1 AS VARCHAR) AS path, CAST((p % 128) * 2 + (k2 % 8) // 4 AS INTEGER) AS x, CAST((s % 64) * 4 + k2 % 4 AS INTEGER) AS y, count(*) AS n, CAST(sum((q * 7) % 1024 * 25) AS BIGINT) AS tot FROM px WHERE k1 IN (SELECT k1 FROM li GROUP BY k1 HAVING count(*) > 1) GROUP BY 1, 2, 3"),
+        "recorded_events": ev(f"SELECT CAST(t_trigger AS DOUBLE) AS t_trigger, {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(tof AS DOUBLE) AS tof, tot FROM co"),
+        "recorded_pixels": ev(f"SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(toa AS DOUBLE) AS toa, tot FROM hi"),
+        "recorded_triggers": ev("SELECT CAST(toa AS DOUBLE) AS toa, tdc_id, edge FROM tr"),
+        "tofbin_scan": ev(f"SELECT CAST(t_trigger AS DOUBLE) AS shot, CAST({CLIP} AS DOUBLE) AS x, CAST(greatest(0, least(255, y)) AS DOUBLE) AS y, CAST(tof AS DOUBLE) AS tof, CAST(tot AS DOUBLE) AS tot FROM co"),
+        "corrections_scan": "SELECT CAST(p_partkey AS DOUBLE) AS tof, CAST(p_retailprice AS DOUBLE) AS correction FROM part",
+        "run_events": po("SELECT row_number() OVER (ORDER BY shot, x, y, tot) - 1 AS position, CAST(shot AS DOUBLE) AS t_trigger, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, tot FROM pt"),
+        "merged_run": po("SELECT i.n AS shot_index, CAST(shot AS DOUBLE) AS t_trigger, round(sum(x * tot) / sum(tot), 6) AS x, round(sum(y * tot) / sum(tot), 6) AS y, 0.0::DOUBLE AS tof, CAST(max(tot) AS DOUBLE) AS tot FROM pt JOIN clu USING (shot, pid) JOIN (SELECT shot, row_number() OVER (ORDER BY shot) - 1 AS n FROM (SELECT DISTINCT shot FROM pt)) i USING (shot) GROUP BY shot, cluster, i.n"),
+        "label_files": po("SELECT CAST(pt.shot AS DOUBLE) AS shot, x, y, CAST(tot AS DOUBLE) AS tot, cluster IS NOT NULL AS clustered FROM pt LEFT JOIN clu USING (shot, pid)"),
+        "numbered_label_files": po("SELECT count(DISTINCT (shot, cluster)) AS n_labels, count(DISTINCT (shot, cluster)) - 1 AS largest, count(*) AS n_events FROM clu"),
+        "run_folder_status": po("SELECT 'run' AS run, 'DONE' AS status, CAST(count(DISTINCT (shot, cluster)) AS BIGINT) AS n_centroids FROM clu"),
+        "greedy_centroids": GREEDY,
     }

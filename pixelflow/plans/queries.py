@@ -12,12 +12,15 @@ from pixelflow.functions.ordering import with_index
 from pixelflow.operators import aggregate, cluster, correlate, decode, filters, histogram
 from pixelflow.operators.histogram import Roi
 from pixelflow.plans import virtual as V
+from pixelflow.sources import frames, packed, processing, runs
+from pixelflow.sources.store import scratch
 
 WINDOW = (0, 600_000_000)  # microseconds
 AXIS = (0, 600_000_000, 1000)
 ROIS = [Roi("early", 0, 60_000_000), Roi("middle", 50_000_000, 300_000_000), Roi("late", 300_000_001, 600_000_000)]
 TICK = 3_600_000_000
 EPS, LEAST_POINTS = 6.0, 1
+DAY, CLEARED = 86_400_000_000, 5_000_000_000_000  # microseconds
 
 
 def _primary(s, d):
@@ -173,9 +176,10 @@ def run_summary(s, d):
 
 
 def run_status(s, d):
-    o = V.table(s, d, "orders")
-    files = o.select((F.col("o_custkey") % 500).alias("run"), F.when(F.col("o_orderstatus") == "F", "events").when(F.col("o_orderstatus") == "O", "centroids").otherwise("raw").alias("kind"), (F.col("o_orderkey") % 7 * 48).alias("size"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
-    return aggregate.run_status(files.filter("run % 3 = 0 or kind != 'events'"), ["run"]).drop("newest")
+    o, run = V.table(s, d, "orders"), F.col("o_custkey") % 500
+    recorded = (F.col("o_orderstatus") == "F") & (run % 3 == 0)  # only every third run has event files, so that some are EMPTY
+    files = o.select(run.alias("run"), F.when(recorded, "events").when(F.col("o_orderstatus") == "O", "centroids").otherwise("raw").alias("kind"), (F.col("o_orderkey") % 7 * 48).alias("size"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
+    return aggregate.run_status(files, ["run"]).drop("newest")
 
 
 def rebased_shots(s, d):
@@ -206,12 +210,178 @@ def greedy_centroids(s, d):
     return cluster.greedy(h, 40, 900_000_000, 16, ["buffer"])
 
 
+def sorted_hits(s, d):
+    return with_index(V.hits(s, d), "toa", ["event_id"], "position").select("event_id", "toa", "position")
+
+
+def correlate_offline_by_buffer(s, d):
+    """Buffers of fewer than two triggers give nothing."""
+    buffer = F.floor(F.col("toa") / TICK).alias("buffer")
+    return correlate.offline(V.hits(s, d).withColumn("buffer", buffer), _primary(s, d).withColumn("buffer", buffer), *WINDOW, scope=["buffer"]).select("event_id", "buffer", "event_num", "tof")
+
+
+def display_mode(s, d):
+    """What each mode shows."""
+    shown = [filters.shown(_events(s, d), V.hits(s, d), mode).select("event_id", F.lit(mode).alias("mode")) for mode in ("events", "pixels")]
+    return shown[0].unionByName(shown[1])
+
+
+def auto_clear_images(s, d):
+    return histogram.cleared_images(V.hits(s, d), DAY)
+
+
+def image_since_clear(s, d):
+    return histogram.image(histogram.since(V.hits(s, d), CLEARED))
+
+
+def _regions():
+    """Regions after some have been defined, changed, renamed and removed."""
+    rois = histogram.Rois()
+    for r in ROIS:
+        rois.add(r.name, r.low, r.high)
+    rois.update("middle", 20_000_000, 200_000_000, CLEARED)
+    rois.rename("early", "first")
+    rois.add("gone", 0, 1)
+    rois.remove("gone")
+    return rois
+
+
+def roi_lifecycle(s, d):
+    return _regions().counts(_events(s, d))
+
+
+def roi_lifecycle_images(s, d):
+    return _regions().images(_events(s, d))
+
+
+def single_roi(s, d):
+    rois = histogram.Rois()
+    rois.set_only(0, 100_000_000)
+    return rois.counts(_events(s, d))
+
+
+def accumulator_stats_by_roi(s, d):
+    return histogram.stats(_events(s, d), V.hits(s, d), ROIS)
+
+
+def coalesced_updates(s, d):
+    return histogram.coalesced(V.hits(s, d), TICK, "toa", ["tot"])
+
+
+def chunk_diagnostics(s, d):
+    """Hits and their summed tot over every eight hourly chunks that have any."""
+    chunks = V.hits(s, d).groupBy(F.floor(F.col("toa") / TICK).alias("chunk")).agg(F.count(F.lit(1)).alias("n_hits"), F.sum("tot").alias("tot"))
+    return histogram.diagnostics(chunks, 8, "chunk", ["n_hits", "tot"])
+
+
+def parse_frames(s, d):
+    """An order's packets are a frame and a file; read back, a row for each frame that holds packets."""
+    files = V.frame_files(s, d)
+    return frames.frames_of(files).select("path", "frame", "min_ts", "max_ts", F.size("packets").alias("n_packets"))
+
+
+def parse_packets(s, d):
+    """The pixels of those frames, through bytes and back."""
+    found = frames.packets_of(frames.frames_of(V.frame_files(s, d)))
+    return decode.pixels(found, ["path"]).groupBy("path", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("tot").alias("tot"))
+
+
+def _recorded(s, d, kind, rows, name="run"):
+    """The rows through packed files and back."""
+    folder = scratch(s)
+    packed.register(s)
+    rows.write.format("packed").option("kind", kind).option("name", name).mode("append").save(folder)
+    return s.read.format("packed").option("kind", kind).option("name", name).load(folder)
+
+
+def recorded_events(s, d):
+    rows = filters.clipped(_events(s, d)).select(F.col("t_trigger").cast("double"), "x", "y", F.col("tof").cast("double"), "tot")
+    return _recorded(s, d, "events", rows)
+
+
+def recorded_pixels(s, d):
+    return _recorded(s, d, "pixels", filters.clipped(V.hits(s, d)).select("x", "y", F.col("toa").cast("double"), "tot"))
+
+
+def recorded_triggers(s, d):
+    return _recorded(s, d, "triggers", V.triggers(s, d).select(F.col("toa").cast("double"), "tdc_id", "edge"))
+
+
+def tofbin_scan(s, d):
+    folder = scratch(s)
+    recorded = _events(s, d)
+    recorded = filters.clipped(recorded).select(F.col("t_trigger").cast("double"), "x", "y", F.col("tof").cast("double"), "tot")
+    packed.register(s)
+    recorded.write.format("packed").option("kind", "events").option("name", "a").mode("append").save(folder)
+    processing.convert_events(s, folder, folder, "a")
+    return s.read.format("packed").option("kind", "tofbin").load(folder)
+
+
+def corrections_scan(s, d):
+    """Lines of part keys and prices, and as many broken ones."""
+    folder = scratch(s)
+    p = V.table(s, d, "part")
+    p.select(F.explode(F.array(F.concat_ws(",", "p_partkey", "p_retailprice"), F.concat(F.lit("bad "), "p_name"))).alias("value")).write.text(f"{folder}/corrections")
+    return runs.read_corrections(s, f"{folder}/corrections")
+
+
+def _run_folder(s, d):
+    """A folder with the clustering points as two appended event files and every shot's trigger."""
+    folder = f"{scratch(s)}/run"
+    packed.register(s)
+    p = V.points(s, d).select(F.col("shot").cast("double").alias("t_trigger"), F.col("x").cast("int"), F.col("y").cast("int"), "tof", "tot")
+    for part in (p.filter("x < 20"), p.filter("x >= 20")):
+        part.write.format("packed").option("kind", "events").option("name", "run").mode("append").save(folder)
+    t = p.select(F.col("t_trigger").alias("toa"), F.lit(1).cast("short").alias("tdc_id"), F.lit(0).cast("short").alias("edge")).distinct()
+    t.write.format("packed").option("kind", "triggers").option("name", "run").mode("append").save(folder)
+    return folder
+
+
+def run_events(s, d):
+    """A run's events in time order, by their position."""
+    events = runs.Run(s, _run_folder(s, d)).events
+    return with_index(events, "t_trigger", ["x", "y", "tof", "tot"], "position").select("position", "t_trigger", "x", "y", "tot")
+
+
+def merged_run(s, d):
+    """Centroids of a run folder, through its merged file."""
+    folder = _run_folder(s, d)
+    processing.process_run(s, folder, EPS, LEAST_POINTS, 1.0)
+    rows = s.read.format("packed").option("kind", "merged").load(folder)
+    return rows.select("shot_index", "t_trigger", *(F.round(c, 6).alias(c) for c in ("x", "y", "tof")), "tot")
+
+
+def label_files(s, d):
+    """Whether each event of a run is in a cluster, through its label file."""
+    folder = _run_folder(s, d)
+    processing.process_run(s, folder, EPS, LEAST_POINTS, 1.0, labels=True)
+    return s.read.format("packed").option("kind", "labels").load(folder).select("shot", "x", "y", "tot", (F.col("label") >= 0).alias("clustered"))
+
+
+def numbered_label_files(s, d):
+    """Clusters of a run by their numbers: how many, the largest, and members."""
+    folder = _run_folder(s, d)
+    processing.process_run(s, folder, EPS, LEAST_POINTS, 1.0, labels=True)
+    kept = filters.without_noise(s.read.format("packed").option("kind", "labels").load(folder))
+    return kept.agg(F.countDistinct("label").alias("n_labels"), F.max("label").cast("long").alias("largest"), F.count(F.lit(1)).alias("n_events"))
+
+
+def run_folder_status(s, d):
+    """Status of a processed run folder, from its files alone."""
+    folder = _run_folder(s, d)
+    processing.process_run(s, folder, EPS, LEAST_POINTS, 1.0)
+    return aggregate.run_status(runs.listing(s, folder), ["run"]).select("run", "status", "n_centroids")
+
+
 FOUND = [
     classify_packets, decode_pixel_address, decode_pixel_time, extend_timestamp, decode_trigger, ticks_to_seconds, time_range, filter_triggers, primary_triggers,
     correlate_live, correlate_live_by_buffer, correlate_offline, shot_index, tof_correction, tof_histogram, toa_histogram, pixel_image, roi_images, roi_counts,
     accumulator_stats, timeseries_per_shot, timeseries_compat, series_last_n, running_trigger_max, stride_sample, clipped_hits, threshold_filter, merge_triggers,
     shot_table, events_for_shot, events_in_range, absolute_times, run_summary, run_status, rebased_shots, eps_neighbours, density_labels, density_numbered,
     centroids_weighted, greedy_centroids,
+    sorted_hits, correlate_offline_by_buffer, display_mode, auto_clear_images, image_since_clear, roi_lifecycle, roi_lifecycle_images, single_roi, accumulator_stats_by_roi,
+    coalesced_updates, chunk_diagnostics, parse_frames, parse_packets, recorded_events, recorded_pixels, recorded_triggers, tofbin_scan, corrections_scan, run_events,
+    merged_run, label_files, numbered_label_files, run_folder_status,
 ]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelflow.functions import packets as P
+from pixelflow.sources.frames import frame_bytes
 
 EPOCH_US = 1_700_000_000_000_000  # hits' times count from here, so sums of times stay small
 
@@ -24,6 +26,18 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(order.alias("k1"), line.alias("k2"), F.when(c("l_returnflag") == "R", trigger).otherwise(pixel).alias("packet"), ((order * 1000003) % (1 << 40)).alias("min_ts"))
 
 
+def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content: a ``.tpx3`` file of one frame for each order, its packets by line number, then value."""
+
+    @F.arrow_udf("binary")
+    def content(packets: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        rows = zip(packets.to_pylist(), low.to_pylist(), high.to_pylist())
+        return pa.array([frame_bytes(p, a, b) for p, a, b in rows], pa.binary())
+
+    by = packets(spark, sf_dir).groupBy("k1").agg(F.array_sort(F.collect_list(F.struct("k2", "packet"))).alias("p"), F.min("min_ts").alias("low"), F.max(F.col("min_ts") + 1000).alias("high"))
+    return by.select(F.col("k1").cast("string").alias("path"), content(F.col("p.packet"), "low", "high").alias("content"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("toa", F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US)
 

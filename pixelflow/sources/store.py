@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +31,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see, under spark.checkpoint.dir; a temporary one only in local mode. It is removed
+    when the driver's Python ends."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="pixelflow-")
+    path = f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_swept, spark, path)
+    return path
+
+
+def _swept(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001  the JVM may be gone by now; the folder is then left to its owner
+        pass
