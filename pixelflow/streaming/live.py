@@ -91,7 +91,7 @@ class Recorder:
 
     def _pack(self, kind: str, table: DataFrame, batch: int) -> None:
         """The batch's records as one packed file, which a repeated batch replaces."""
-        packed.register(self.spark)
+        packed.register(table.sparkSession)  # the stream has a session of its own
         seconds = lambda c: (F.col(c) * (S.PIXEL_TICK_S / S.TICKS_PER_PIXEL_TICK)).alias(c)
         rows = table.select(*(seconds(n) if n in ("t_trigger", "toa", "tof") else F.col(n) for n, _, _ in S.LAYOUTS[kind]))
         writer = rows.coalesce(1).write.format("packed").option("kind", kind).option("name", self.run).option("saver", batch)
