@@ -82,6 +82,7 @@ class Recorder:
     def __init__(self, spark: SparkSession, out: str, window: tuple[int, int], tdc_id: int = 1, edge: int = 0, bus: Bus | None = None, correlator=correlate.live, packed_files: bool = False):
         self.spark, self.out, self.window, self.tdc_id, self.edge = spark, out, window, tdc_id, edge
         self.correlator, self.packed_files, self.home = correlator, packed_files, out
+        packed.register(spark)  # before a stream starts, whose session is a copy
         self.bus, self.run, self.kept = bus or Bus(), None, dict(KEPT)
         self.progress: deque = deque(maxlen=100)
 
@@ -91,7 +92,6 @@ class Recorder:
 
     def _pack(self, kind: str, table: DataFrame, batch: int) -> None:
         """The batch's records as one packed file, which a repeated batch replaces."""
-        packed.register(table.sparkSession)  # the stream has a session of its own
         seconds = lambda c: (F.col(c) * (S.PIXEL_TICK_S / S.TICKS_PER_PIXEL_TICK)).alias(c)
         rows = table.select(*(seconds(n) if n in ("t_trigger", "toa", "tof") else F.col(n) for n, _, _ in S.LAYOUTS[kind]))
         writer = rows.coalesce(1).write.format("packed").option("kind", kind).option("name", self.run).option("saver", batch)
