@@ -10,6 +10,7 @@ import weakref
 from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import regex
 
@@ -27,7 +28,8 @@ BLANKS = re.compile(f"[{SPACES}]+")
 
 MARKS = frozenset(",.;:?!|")
 
-CACHE_WORDS = 500_000  # entries kept by a worker's cache before it starts anew, some 80 MB
+CACHE_WORDS = 500_000  # entries kept by a worker's cache before it drops half of them, some 80 MB
+KEPT_WORDS = 200_000  # entries that a cache may take over to its worker's next task, some 30 MB
 CACHE_CHARS = 64  # longer pieces aren't kept
 
 _SHIFT, _LOW = 32, (1 << 32) - 1
@@ -168,7 +170,7 @@ def tree_encode(symbols: list[int], t: Tables) -> list[int]:
 
 
 class Pieces(dict):
-    """Value of a piece of text by ``make``, kept for short pieces; starts anew when full, so memory is bounded."""
+    """Value of a piece of text by ``make``, kept for short pieces; when full, the later half goes, so memory is bounded."""
 
     __hash__ = object.__hash__
     live: weakref.WeakSet = weakref.WeakSet()
@@ -182,19 +184,27 @@ class Pieces(dict):
         value = self.make(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
-                self.clear()
+                self.shrink(CACHE_WORDS // 2)
             self[piece] = value
         return value
 
+    def shrink(self, kept: int) -> None:
+        """Keep the entries that came first, which frequent pieces do."""
+        if len(self) > kept:
+            first = list(islice(self.items(), kept))
+            self.clear()
+            self.update(first)
+
 
 @contextmanager
-def pieces_of_a_task():
-    """What the caches took in a task goes with it: Spark's Python workers live on, and other operators run in them."""
+def pieces_of_a_task(kept: int = 0):
+    """All but ``kept`` entries of each cache go with the task that took them: Spark's Python workers live on, and other
+    operators run in them."""
     try:
         yield
     finally:
         for p in list(Pieces.live):
-            p.clear()
+            p.shrink(kept)
         _trim()
 
 
@@ -215,6 +225,17 @@ def normal_words(chunk: str) -> list[str]:
     return WORD_PATTERN.findall(low)
 
 
+def byte_pieces(chunk: str) -> list[str]:
+    """Pre-tokens of a text for the byte vocabulary; most chunks are a word, or a word and a mark, after a space."""
+    word = chunk.removeprefix(" ")
+    if chunk.isascii():
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+    return BYTE_PATTERN.findall(chunk)
+
+
 def chunks(text: str) -> list[str]:
     """Parts of a text between blanks."""
     return text.split() if not NOT_BLANKS.search(text) else [c for c in BLANKS.split(text) if c]

@@ -68,7 +68,7 @@ def _over_texts(docs: DataFrame, id_col: str, text_col: str, fields: list[tuple[
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        with bpe.pieces_of_a_task():
+        with bpe.pieces_of_a_task(bpe.KEPT_WORDS):
             for b in batches:
                 for at in range(0, b.num_rows, STEP):
                     got = [value(x) for x in b.column(1).slice(at, STEP).to_pylist()]

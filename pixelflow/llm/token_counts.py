@@ -19,12 +19,13 @@ STEP = 256  # texts held as Python strings at a time
 class Counter:
     def __init__(self, path: str):
         self.t = bpe.tables(path)
+        self.pieces = bpe.Pieces(lambda p: bpe.heap_count(self.t.symbols(p), self.t))  # words come with different marks
         self.bare = bpe.Pieces(self._count)
         self.spaced = bpe.Pieces(lambda c: self._count(" " + c))
         self.newline = self._count("\n")
 
     def _count(self, chunk: str) -> int:
-        return sum(bpe.heap_count(self.t.symbols(p), self.t) for p in bpe.BYTE_PATTERN.findall(chunk))
+        return sum(map(self.pieces.__getitem__, bpe.byte_pieces(chunk)))
 
     def count(self, text: str | None) -> int:
         total = 0
@@ -49,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     def run(batches):
         c = counter(tokenizer_path)
-        with bpe.pieces_of_a_task():
+        with bpe.pieces_of_a_task(bpe.KEPT_WORDS):
             for b in batches:
                 texts, counts = b.column(2), []
                 for at in range(0, b.num_rows, STEP):

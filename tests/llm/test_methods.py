@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -181,6 +182,20 @@ def test_caches_go_with_their_task():
     assert len(p) == 0
 
 
+def test_caches_keep_what_came_first():
+    p = bpe.Pieces(len)
+    with bpe.pieces_of_a_task(2):
+        assert [p[x] for x in ("a", "bb", "ccc")] == [1, 2, 3]
+    assert dict(p) == {"a": 1, "bb": 2}
+
+
+def test_byte_pieces_are_the_patterns():
+    parts = ["a", "The", "don't", " ", "\n", "\t", ",", ".", "?!", "7", "'s", "é", "ß", "Σ", "１", "ʰ", "x\u0301", "\u3000", "\x1c", "日本"]
+    for n in range(4):
+        for chunk in map("".join, itertools.product(parts, repeat=n)):
+            assert bpe.byte_pieces(chunk) == bpe.BYTE_PATTERN.findall(chunk)
+
+
 def test_pipeline_rows(spark):
     sf = "/root/testdata/sf0.001"
     kept = spark.read.parquet(f"{sf}/documents.parquet")
