@@ -4,18 +4,22 @@ PIVOTS vectors (a sample of fixed size, drawn by a hash of the id) are the pivot
 NEAREST pivots in order of nearness and is posted, with their places, in those pivots' inverted files. A query reads
 the files of its own pivots only. The footrule distance of two such orders, with absent pivots at place NEAREST, is a
 constant less twice the sum over common pivots of NEAREST - max(place, place), so one pass over the files ranks all
-vectors that share a pivot with the query; the best RERANK of each block are then ranked by the exact inner product in
-double precision.
+vectors that share a pivot with the query; the best of each block, a share of it, are then ranked by the exact inner product
+in double precision.
+
+The share is measured on the very table: PROBES queries, drawn by a hash, are answered exactly, and the places that their true
+neighbours have by footrule tell what share finds TARGET of them. That pass meets each block once, with a fixed number of
+queries, and at most PROBES * k numbers reach the driver.
 
 Pivots tell directions, not lengths. So a block's vectors are taken in bands of nearly equal length, the longest first:
-each band has its own share to rerank, and the search ends where a band's longest vector, by the product of the lengths,
+each band gives that share of it to rerank, and the search ends where a band's longest vector, by the product of the lengths,
 can't reach the best found. Equal vectors are one entry of the index, whose smallest ids answer.
 
 Vectors and queries are dealt into blocks of bounded size, and every query block meets every vector block, where the
 inverted files of that block are built; only each meeting's best are shuffled on. All vectors are indexed.
 
-The share is what recall needs where directions are spread evenly, as the README's figures show; a fixed number of
-candidates loses ever more of the true neighbours as such a table grows.
+Where directions are spread evenly the share stays much the same as a table grows, so a fixed number of candidates would lose ever
+more of the true neighbours; the README has figures.
 
 Null vectors, zero vectors, those with null or non-finite components, and those not as long as most take no part, nor do
 rows with null ids. A query's own row is no candidate; another row with its id is. A repeated id is asked as often as it
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from pixelflow.llm.common import materialize
 
 PIVOTS, NEAREST = 512, 48
-RERANK, LEAST_RERANK = 0.12, 8  # share of a band's vectors that are ranked exactly, and the least number of them by k
+LEAST_RERANK = 8  # vectors of a band that are ranked exactly, at least, by k
+PROBES, TARGET = 64, 0.98  # queries that measure the share of a band to be ranked exactly, and what they must find of their neighbours
 BANDS_PER_DOUBLING = 8  # lengths within a band differ by 9 % at most
 VECTOR_BLOCK, QUERY_BLOCK = 1 << 14, 1 << 13  # rows at most, in expectation
 
@@ -96,7 +101,22 @@ class Block:
         self.bands = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(first)]
         self.pivots, self.files = pivots, Files(places(unit[by_length], pivots, nearest), len(pivots))
 
-    def nearest_to(self, own: int, vec: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shares(self, own: int, vec: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the block's ``k`` nearest without the row ``own``, by exact search, and the share of its band that each takes
+        to be found."""
+        common = self.files.common(places(unit[None], self.pivots, self.files.nearest)[0])
+        score = np.repeat(_products(self.x, vec), np.diff(self.start))
+        entry = np.repeat(np.arange(len(self.x)), np.diff(self.start))
+        best = np.lexsort((self.rows, self.ids, -score))
+        best = best[self.rows[best] != own][:k]
+        need = np.zeros(len(best))
+        for i, e in enumerate(entry[best]):
+            band = np.searchsorted(self.bands, e, side="right")
+            low, high = self.bands[band - 1], self.bands[band]
+            need[i] = (common[low:high] >= common[e]).sum() / (high - low)  # ties count against it
+        return score[best], need
+
+    def nearest_to(self, own: int, vec: np.ndarray, unit: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, rows and scores of the block's ``k`` nearest found, without the row ``own``."""
         common = self.files.common(places(unit[None], self.pivots, self.files.nearest)[0])
         reach = np.log2(np.abs(vec).max()) + np.log2(np.sqrt(np.square(vec / np.abs(vec).max()).sum()))
@@ -104,7 +124,7 @@ class Block:
         for low, high in zip(self.bands, self.bands[1:]):
             if len(score) == k and np.exp2(min(self.length[low] + reach, 1023.0)) * (1 + 1e-9) < score[-1]:
                 break  # no vector from here on is long enough
-            few = min(high - low, max(LEAST_RERANK * k, int(np.ceil(RERANK * (high - low)))))
+            few = min(high - low, max(LEAST_RERANK * k, int(np.ceil(share * (high - low)))))
             near = low + (np.argpartition(-common[low:high], few - 1)[:few] if few < high - low else np.arange(high - low))
             rough = self.x[near] @ vec
             if len(near) > k + 1:  # those that can't be among the best, by more than rounding, needn't be summed again
@@ -133,6 +153,25 @@ def _stack(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def measured_share(valid: DataFrame, asked: DataFrame, pivots, nearest: int, k: int) -> float:
+    """Share of a band with which PROBES of the queries find TARGET of their true neighbours. ``valid``: id, row, vec and v, the block."""
+    probes = asked.orderBy(F.xxhash64("id", "row", F.lit(9)), "id", "row").limit(PROBES).toPandas()
+    if not len(probes):
+        return 1.0
+    vecs, own = np.stack(probes["vec"].to_numpy()).astype(np.float64), probes["row"].to_numpy()
+    units = _unit(vecs)[0]
+
+    def probe(a: pa.Table) -> pa.Table:
+        block = Block(a["id"].to_numpy(), a["row"].to_numpy(), _stack(a["vec"]), pivots.value, nearest)
+        found = [block.shares(o, vec, unit, k) for o, vec, unit in zip(own, vecs, units)]
+        return pa.table({"probe": np.repeat(np.arange(len(found), dtype=np.int64), [len(f[0]) for f in found]), "score": np.concatenate([f[0] for f in found]), "need": np.concatenate([f[1] for f in found])})
+
+    w = Window.partitionBy("probe").orderBy(F.desc("score"), "need")
+    got = valid.groupBy("v").applyInArrow(probe, "probe long, score double, need double")
+    need = np.sort([r["need"] for r in got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("need").collect()])
+    return float(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) if len(need) else 1.0
+
+
 def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found. ``is_query``: condition on column ``id``."""
     spark = rows.sparkSession
@@ -151,6 +190,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     block = lambda blocks, seed: F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    share = measured_share(valid.select("id", "row", "vec", block(vector_blocks, 1).alias("v")), valid.filter(is_query).select("id", "row", "vec"), pivots, nearest, k)
     left = valid.select("id", "row", "vec", block(vector_blocks, 1).alias("v"), every(query_blocks).alias("q"))
     asked = valid.filter(is_query).select("id", "row", "vec", block(query_blocks, 2).alias("q"), every(vector_blocks).alias("v"))
 
@@ -160,7 +200,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
             block = Block(a["id"].to_numpy(), a["row"].to_numpy(), _stack(a["vec"]), pivots.value, nearest)
             y = _stack(b["vec"])
             for qid, own, vec, unit in zip(b["id"].to_numpy(), b["row"].to_numpy(), y, _unit(y)[0]):
-                found = block.nearest_to(own, vec, unit, k)
+                found = block.nearest_to(own, vec, unit, k, share)
                 for c, v in zip(out, (np.full(len(found[0]), qid), np.full(len(found[0]), own), *found)):
                     out[c].append(v)
         kind = lambda c: np.float64 if c == "score" else np.int64

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelflow.llm import merkle, ordered, prefix_trie, quality_ranker, queries
+from pixelflow.llm import merkle, neighbours, ordered, prefix_trie, quality_ranker, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -246,3 +246,21 @@ def test_classifier_of_odd_tables(spark, docs, none):
     assert quality_ranker.classify(none, labels).collect() == []
     assert {(r.score, r.predicted) for r in quality_ranker.classify(docs, labels.limit(0)).collect()} == {(0.5, 0)}
     assert {r.score for r in quality_ranker.classify(docs, labels.filter("quality = 1")).collect()} == {1.0}
+
+
+# Nearest neighbours
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    path = f"/root/testdata/{sf}"
+    got = queries.queries()["op9_nearest_neighbours"](spark, path).collect()
+    want = neighbours.exact(spark.read.parquet(f"{path}/embeddings.parquet").toPandas(), 20, lambda i: i % 20 == 0)
+    found, true = {}, {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, _, v, _ in want:
+        true.setdefault(q, set()).add(v)
+    assert set(found) == set(true)
+    recall = [len(found[q] & true[q]) / len(true[q]) for q in true]
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
