@@ -26,6 +26,9 @@ te AS (SELECT *, ((((k1 * 7919 + p) % 34359738368 * 2 - m % 68719476736) % 68719
 ta AS (SELECT *, 6 * (m + CASE WHEN d >= 34359738368 THEN d - 68719476736 ELSE d END) + s % 16 - 1 AS ticks,
          CAST(CASE k2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS SMALLINT) AS tdc_id, CAST(CASE k2 WHEN 2 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS SMALLINT) AS edge FROM te)"""
 
+PIXEL_SUMS = """SELECT CAST((p % 128) * 2 + (k2 % 8) // 4 AS INTEGER) AS x, CAST((s % 64) * 4 + k2 % 4 AS INTEGER) AS y, count(*) AS n, CAST(sum((q * 7) % 1024 * 25) AS BIGINT) AS tot
+FROM px WHERE k1 IN (SELECT k1 FROM li GROUP BY k1 HAVING count(*) > 1) GROUP BY 1, 2"""
+
 POINTS = """
 pt AS (SELECT CAST(l_orderkey AS BIGINT) AS shot, CAST(l_linenumber AS BIGINT) AS pid, CAST(min(l_partkey % 40) AS DOUBLE) AS x, CAST(min(l_suppkey % 40) AS DOUBLE) AS y, CAST(max(l_quantity) AS BIGINT) AS tot FROM lineitem GROUP BY 1, 2),
 nb AS (SELECT a.shot, a.pid, b.pid AS other FROM pt a JOIN pt b ON a.shot = b.shot AND a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36),
@@ -133,6 +136,8 @@ bt AS (SELECT buffer, toa AS t, max(n) AS event_num FROM b WHERE size >= 2 GROUP
             "SELECT block, count(*) AS n_chunks, CAST(sum(n_hits) AS BIGINT) AS n_hits, CAST(sum(tot) AS BIGINT) AS tot FROM cn GROUP BY 1"),
         "parse_frames": li("SELECT CAST(k1 AS VARCHAR) AS path, CAST(0 AS BIGINT) AS frame, min(m) AS min_ts, max(m) + 1000 AS max_ts, CAST(count(*) AS INTEGER) AS n_packets FROM li GROUP BY k1 HAVING count(*) > 1"),
         "parse_packets": li("SELECT CAST(k1 AS VARCHAR) AS path, CAST((p % 128) * 2 + (k2 % 8) // 4 AS INTEGER) AS x, CAST((s % 64) * 4 + k2 % 4 AS INTEGER) AS y, count(*) AS n, CAST(sum((q * 7) % 1024 * 25) AS BIGINT) AS tot FROM px WHERE k1 IN (SELECT k1 FROM li GROUP BY k1 HAVING count(*) > 1) GROUP BY 1, 2, 3"),
+        "split_frames": li(PIXEL_SUMS),
+        "followed_frames": li(PIXEL_SUMS),
         "recorded_events": ev(f"SELECT CAST(t_trigger AS DOUBLE) AS t_trigger, {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(tof AS DOUBLE) AS tof, tot FROM co"),
         "recorded_pixels": ev(f"SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(toa AS DOUBLE) AS toa, tot FROM hi"),
         "recorded_triggers": ev("SELECT CAST(toa AS DOUBLE) AS toa, tdc_id, edge FROM tr"),

@@ -12,7 +12,7 @@ from pixelflow.functions.ordering import with_index
 from pixelflow.operators import aggregate, cluster, correlate, decode, filters, histogram
 from pixelflow.operators.histogram import Roi
 from pixelflow.plans import virtual as V
-from pixelflow.sources import frames, packed, processing, runs
+from pixelflow.sources import frames, packed, processing, runs, tpx3
 from pixelflow.sources.store import scratch
 
 WINDOW = (0, 600_000_000)  # microseconds
@@ -286,6 +286,35 @@ def parse_packets(s, d):
     return decode.pixels(found, ["path"]).groupBy("path", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("tot").alias("tot"))
 
 
+def _raw_folder(s, d):
+    """The frames of all orders as raw files, many frames to a file."""
+    folder = scratch(s)
+    tpx3.register(s)
+    V.frame_files(s, d).select("content").write.format("tpx3").option("name", "run").mode("append").save(folder)
+    return folder
+
+
+def _pixel_sums(found):
+    return decode.pixels(frames.packets_of(found)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("tot").alias("tot"))
+
+
+def split_frames(s, d):
+    """Raw files whose headers are walked first, then read in ranges of whole frames."""
+    return _pixel_sums(tpx3.split_frames(s, _raw_folder(s, d), 1 << 18))
+
+
+def followed_frames(s, d):
+    """The same files followed as a stream by byte offsets, in batches of 2 MB."""
+    folder, at = _raw_folder(s, d), scratch(s)
+    stream = s.readStream.format("tpx3").option("max_bytes", 2 << 20).option("split", 1 << 18).option("progress", f"{at}/progress").load(folder)
+    query = stream.writeStream.format("parquet").option("path", f"{at}/frames").option("checkpointLocation", f"{at}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return _pixel_sums(s.read.schema(frames.SCHEMA).parquet(f"{at}/frames"))
+
+
 def _recorded(s, d, kind, rows, name="run"):
     """The rows through packed files and back."""
     folder = scratch(s)
@@ -382,6 +411,7 @@ FOUND = [
     sorted_hits, correlate_offline_by_buffer, display_mode, auto_clear_images, image_since_clear, roi_lifecycle, roi_lifecycle_images, single_roi, accumulator_stats_by_roi,
     coalesced_updates, chunk_diagnostics, parse_frames, parse_packets, recorded_events, recorded_pixels, recorded_triggers, tofbin_scan, corrections_scan, run_events,
     merged_run, label_files, numbered_label_files, run_folder_status,
+    split_frames, followed_frames,
 ]
 
 

@@ -74,18 +74,24 @@ def unread(files: DataFrame) -> DataFrame:
 SCHEMA = "path string, frame long, min_ts long, max_ts long, packets array<long>"
 
 
+def frame_batches(path: str, raw: bytes, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of the frames of a buffer that stands at byte ``first`` of a file, 4096 at a time."""
+    found, _ = walk(raw)
+    for k in range(0, len(found), 4096):
+        part = found[k : k + 4096]
+        packets = pa.array([f[3].view(np.int64) for f in part], pa.list_(pa.int64()))
+        numbers = [pa.array([first + f[0] for f in part], pa.int64()), *(pa.array([f[i] for f in part], pa.int64()) for i in (1, 2))]
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), *numbers, packets], ["path", "frame", "min_ts", "max_ts", "packets"])
+
+
 def frames_of(files: DataFrame) -> DataFrame:
-    """Frames of ``files`` (path, content), batch or stream. A file's frames can only be found one after the other, so a
-    file is read by one task; recordings are many files."""
+    """Frames of ``files`` (path, content), batch or stream. A file held as a value is walked by one task;
+    ``tpx3`` splits files."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                found, _ = walk(raw.as_py())
-                for k in range(0, len(found), 4096):
-                    part = found[k : k + 4096]
-                    packets = pa.array([f[3].view(np.int64) for f in part], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), *(pa.array([f[i] for f in part], pa.int64()) for i in range(3)), packets], ["path", "frame", "min_ts", "max_ts", "packets"])
+                yield from frame_batches(path, raw.as_py())
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 

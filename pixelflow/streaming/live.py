@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pixelflow import schemas as S
 from pixelflow.operators import correlate, decode
 from pixelflow.operators.filters import triggers_of
-from pixelflow.sources import frames, packed, runs, store
+from pixelflow.sources import frames, packed, runs, store, tpx3
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,6 +24,13 @@ def raw_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) -> Da
     return frames.packets_of(frames.frames_of(files))
 
 
+def followed_stream(spark: SparkSession, folder: str, progress: str, max_bytes: int = tpx3.MAX_BYTES) -> DataFrame:
+    """Packets of a folder of ``.tpx3`` files that is still written to: micro-batches end after ``max_bytes`` or with their trigger,
+    frames wait until they are whole. ``progress``: a folder of the query's own."""
+    tpx3.register(spark)
+    return frames.packets_of(spark.readStream.format("tpx3").option("max_bytes", max_bytes).option("progress", progress).load(folder))
+
+
 #: What a recording keeps unless told otherwise.
 KEPT = {"events": True, "pixels": True, "triggers": True}
 
