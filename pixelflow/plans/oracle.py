@@ -138,6 +138,7 @@ bt AS (SELECT buffer, toa AS t, max(n) AS event_num FROM b WHERE size >= 2 GROUP
         "parse_packets": li("SELECT CAST(k1 AS VARCHAR) AS path, CAST((p % 128) * 2 + (k2 % 8) // 4 AS INTEGER) AS x, CAST((s % 64) * 4 + k2 % 4 AS INTEGER) AS y, count(*) AS n, CAST(sum((q * 7) % 1024 * 25) AS BIGINT) AS tot FROM px WHERE k1 IN (SELECT k1 FROM li GROUP BY k1 HAVING count(*) > 1) GROUP BY 1, 2, 3"),
         "split_frames": li(PIXEL_SUMS),
         "followed_frames": li(PIXEL_SUMS),
+        "live_accumulators": ev(f"SELECT 'image' AS acc, toa // {DAY} AS day, greatest(0, least(255, y)) AS shard, CAST({CLIP} AS BIGINT) AS slot, count(*) AS count FROM co GROUP BY ALL UNION ALL SELECT 'spectrum', toa // {DAY}, CAST(b // 64 AS INTEGER), b, count(*) FROM (SELECT toa, CAST(least(999, floor(tof * 1000.0 / {WIN})) AS BIGINT) AS b FROM co) GROUP BY ALL UNION ALL SELECT 'roi', toa // {DAY}, r, CAST(0 AS BIGINT), count(*) FROM co JOIN (VALUES (0, 0, 60000000), (1, 50000000, 300000000), (2, 300000001, 600000000)) v(r, lo, hi) ON tof BETWEEN lo AND hi GROUP BY ALL"),
         "recorded_events": ev(f"SELECT CAST(t_trigger AS DOUBLE) AS t_trigger, {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(tof AS DOUBLE) AS tof, tot FROM co"),
         "recorded_pixels": ev(f"SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(toa AS DOUBLE) AS toa, tot FROM hi"),
         "recorded_triggers": ev("SELECT CAST(toa AS DOUBLE) AS toa, tdc_id, edge FROM tr"),

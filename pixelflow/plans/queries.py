@@ -14,6 +14,7 @@ from pixelflow.operators.histogram import Roi
 from pixelflow.plans import virtual as V
 from pixelflow.sources import frames, packed, processing, runs, tpx3
 from pixelflow.sources.store import scratch
+from pixelflow.streaming import accumulators
 
 WINDOW = (0, 600_000_000)  # microseconds
 AXIS = (0, 600_000_000, 1000)
@@ -315,6 +316,18 @@ def followed_frames(s, d):
     return _pixel_sums(s.read.schema(frames.SCHEMA).parquet(f"{at}/frames"))
 
 
+def live_accumulators(s, d):
+    """Image, spectrum and regions of a stream of correlated events, cleared by day: what stands after its last batch."""
+    at = scratch(s)
+    _events(s, d).select("x", "y", "toa", "tof", "t_trigger").withColumn("day", F.floor(F.col("toa") / DAY)).write.parquet(f"{at}/events")
+    plan = accumulators.Plan(TICK, AXIS, ROIS, every=DAY, delay="3650 days")  # files come in no order of time
+    stream = s.readStream.schema("x int, y int, toa long, tof long, t_trigger long").option("maxFilesPerTrigger", 4).parquet(f"{at}/events")
+    query = accumulators.started(accumulators.accumulated(stream, plan), f"{at}/updates", f"{at}/checkpoint", availableNow=True)
+    query.awaitTermination()
+    rows = accumulators.latest(s, f"{at}/updates").filter("acc in ('image', 'spectrum', 'roi')")
+    return rows.select("acc", F.col("period").alias("day"), "shard", "slot", "count")
+
+
 def _recorded(s, d, kind, rows, name="run"):
     """The rows through packed files and back."""
     folder = scratch(s)
@@ -411,7 +424,7 @@ FOUND = [
     sorted_hits, correlate_offline_by_buffer, display_mode, auto_clear_images, image_since_clear, roi_lifecycle, roi_lifecycle_images, single_roi, accumulator_stats_by_roi,
     coalesced_updates, chunk_diagnostics, parse_frames, parse_packets, recorded_events, recorded_pixels, recorded_triggers, tofbin_scan, corrections_scan, run_events,
     merged_run, label_files, numbered_label_files, run_folder_status,
-    split_frames, followed_frames,
+    split_frames, followed_frames, live_accumulators,
 ]
 
 
