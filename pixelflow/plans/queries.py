@@ -14,7 +14,7 @@ from pixelflow.operators.histogram import Roi
 from pixelflow.plans import virtual as V
 from pixelflow.sources import frames, packed, processing, runs, tpx3
 from pixelflow.sources.store import scratch
-from pixelflow.streaming import accumulators
+from pixelflow.streaming import accumulators, correlation
 
 WINDOW = (0, 600_000_000)  # microseconds
 AXIS = (0, 600_000_000, 1000)
@@ -328,6 +328,26 @@ def live_accumulators(s, d):
     return rows.select("acc", F.col("period").alias("day"), "shard", "slot", "count")
 
 
+def correlate_stream(s, d):
+    """Hits and primary triggers as two streams, whose files come in no order of time; a late pair ends the run."""
+    at, far = scratch(s), 3650 * DAY
+    hits, triggers = V.hits(s, d).select("x", "y", "toa", "tot"), _primary(s, d).select("toa")
+    last = hits.select("toa").unionByName(triggers).agg((F.coalesce(F.max("toa"), F.lit(0)) + 2 * far).alias("toa"))
+
+    def follow():
+        stream = lambda name, schema: s.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/{name}")
+        made = correlation.live(stream("hits", "x int, y int, toa long, tot long"), stream("triggers", "toa long"), *WINDOW, "3650 days")
+        made.writeStream.format("parquet").option("path", f"{at}/events").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    hits.write.parquet(f"{at}/hits")
+    triggers.write.parquet(f"{at}/triggers")
+    follow()
+    last.select(F.lit(0).alias("x"), F.lit(0).alias("y"), "toa", F.lit(0).cast("long").alias("tot")).write.mode("append").parquet(f"{at}/hits")
+    last.write.mode("append").parquet(f"{at}/triggers")
+    follow()
+    return s.read.parquet(f"{at}/events").select("x", "y", "toa", "tot", "t_trigger", "tof")
+
+
 def _recorded(s, d, kind, rows, name="run"):
     """The rows through packed files and back."""
     folder = scratch(s)
@@ -424,7 +444,7 @@ FOUND = [
     sorted_hits, correlate_offline_by_buffer, display_mode, auto_clear_images, image_since_clear, roi_lifecycle, roi_lifecycle_images, single_roi, accumulator_stats_by_roi,
     coalesced_updates, chunk_diagnostics, parse_frames, parse_packets, recorded_events, recorded_pixels, recorded_triggers, tofbin_scan, corrections_scan, run_events,
     merged_run, label_files, numbered_label_files, run_folder_status,
-    split_frames, followed_frames, live_accumulators,
+    split_frames, followed_frames, live_accumulators, correlate_stream,
 ]
 
 
