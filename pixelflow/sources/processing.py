@@ -24,16 +24,13 @@ def convert_events(spark: SparkSession, source: str, folder: str, name: str) ->
     """An events file as one ``.tofbin``; returns its number of rows, and writes nothing for none."""
     packed.register(spark)
     rows = tofbin(spark.read.format("packed").option("kind", "events").load(source))
-    n = rows.count()
-    if n:
-        rows.write.format("packed").option("kind", "tofbin").option("name", name).option("single", "true").mode("overwrite").save(folder)
-    return n
+    return packed.write_single(rows, "tofbin", folder, name) if rows.limit(1).count() else 0
 
 
 def _write(rows: DataFrame, kind: str, folder: Path, name: str) -> Path:
     """One file in the order of the rows; no rows make an empty one."""
     fields = [F.col(n).cast(t).alias(n) for n, _, t in S.LAYOUTS[kind]]
-    rows.select(*fields).write.format("packed").option("kind", kind).option("name", name).option("single", "true").mode("overwrite").save(str(folder))
+    packed.write_single(rows.select(*fields), kind, str(folder), name)
     return folder / f"{name}{packed.suffix(kind)}"
 
 

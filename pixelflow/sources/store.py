@@ -24,6 +24,35 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def is_local(spark: SparkSession, path: str) -> bool:
+    """Whether a path lies in a mounted folder, where files can be written at any place."""
+    return _at(spark, path)[0].getScheme() == "file"
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> None:
+    """Replaces the target."""
+    fs, p = _at(spark, target)
+    fs.delete(p, False)
+    if not fs.rename(_at(spark, source)[1], p):
+        raise OSError(f"{source} can't be renamed to {target}")
+
+
+def concatenated(spark: SparkSession, parts: list[str], target: str) -> None:
+    """One file of the parts, joined by the store itself, which takes them; stores that can't do so say so with an error."""
+    fs, p = _at(spark, target)
+    if not parts:
+        fs.create(p, True).close()
+        return
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rest = gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+    for k, part in enumerate(parts[1:]):
+        rest[k] = jvm.org.apache.hadoop.fs.Path(part)
+    first = jvm.org.apache.hadoop.fs.Path(parts[0])
+    if len(parts) > 1:
+        fs.concat(first, rest)
+    fs.rename(first, p)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _at(spark, path)
     out = fs.create(p, True)

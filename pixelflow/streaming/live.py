@@ -83,7 +83,7 @@ class Recorder:
     predecessor's are kept, for a batch that is run again.
 
     ``correlator``: what makes events of hits and triggers, ``correlate.live`` unless told otherwise. With ``packed_files``
-    the recording is also written as packed record files, one of each kind a batch, in seconds, in ``<out>/<run>``, which
+    the recording is also written as packed record files, exactly once a batch, in seconds, in ``<out>/<run>``, which
     must then be a folder that the executors share."""
 
     def __init__(self, spark: SparkSession, out: str, window: tuple[int, int], tdc_id: int = 1, edge: int = 0, bus: Bus | None = None, correlator=correlate.live, packed_files: bool = False):
@@ -98,10 +98,10 @@ class Recorder:
         return self.spark.read.schema(schema).parquet(path) if store.exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def _pack(self, kind: str, table: DataFrame, batch: int) -> None:
-        """The batch's records as one packed file, which a repeated batch replaces."""
+        """The batch's records as packed files, one for each task that has any; a batch that comes again adds nothing."""
         seconds = lambda c: (F.col(c) * (S.PIXEL_TICK_S / S.TICKS_PER_PIXEL_TICK)).alias(c)
         rows = table.select(*(seconds(n) if n in ("t_trigger", "toa", "tof") else F.col(n) for n, _, _ in S.LAYOUTS[kind]))
-        writer = rows.coalesce(1).write.format("packed").option("kind", kind).option("name", self.run).option("saver", batch)
+        writer = rows.write.format("packed").option("kind", kind).option("name", self.run).option("batch", batch)
         writer.mode("append").save(f"{self.out}/{self.run}")
 
     def __call__(self, packets: DataFrame, batch: int) -> None:
