@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelflow.functions.ordering import with_index, with_next
+from pixelflow.functions.ordering import bounds_of, with_index, with_next
 
 
 def _joined(hits: DataFrame, spans: DataFrame, low: int, high: int, scope: list[str], toa: str) -> DataFrame:
@@ -29,8 +29,8 @@ def live(hits: DataFrame, triggers: DataFrame, low: int, high: int, toa: str = "
 
     ``scope``: columns within which triggers count, such as the buffer for parity with buffered processing."""
     scope = list(scope)
-    times = triggers.select(*scope, F.col(toa).alias("t_trigger")).distinct()
-    spans = with_next(times, "t_trigger", "next", scope).filter("next is not null")
+    given = triggers.select(*scope, F.col(toa).alias("t_trigger"))
+    spans = with_next(given.distinct(), "t_trigger", "next", scope, bounds_of(given, "t_trigger")).filter("next is not null")
     spans = spans.select(*scope, "t_trigger", (F.col("t_trigger") + low).alias("first"), F.least(F.col("next") - 1, F.col("t_trigger") + high).alias("last"))
     return _joined(hits, spans.withColumn("first", F.greatest("first", "t_trigger")), low, high, scope, toa).withColumn("tof", F.col(toa) - F.col("t_trigger"))
 
@@ -39,11 +39,13 @@ def offline(hits: DataFrame, triggers: DataFrame, low: int, high: int, toa: str
     """Hits with event_num, the position of their trigger in time order (the last of equal ones), and tof. The last trigger
     counts too; fewer than two triggers give nothing."""
     scope = list(scope)
-    placed = with_index(triggers.select(*scope, F.col(toa).alias("t_trigger")), "t_trigger", [], "event_num", scope)
+    given = triggers.select(*scope, F.col(toa).alias("t_trigger"))
+    bounds = bounds_of(given, "t_trigger")
+    placed = with_index(given, "t_trigger", [], "event_num", scope, bounds)
     times = placed.groupBy(*scope, "t_trigger").agg(F.max("event_num").alias("event_num"))
     enough = placed.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
     times = times.join(enough, scope, "left_semi") if scope else times.join(F.broadcast(enough), F.lit(True), "left_semi")
-    spans = with_next(times, "t_trigger", "next", scope)
+    spans = with_next(times, "t_trigger", "next", scope, bounds)
     end = F.col("t_trigger") + high
     spans = spans.select(*scope, "t_trigger", "event_num", F.greatest(F.col("t_trigger") + low, F.col("t_trigger")).alias("first"), F.least(F.coalesce(F.col("next") - 1, end), end).alias("last"))
     return _joined(hits, spans, low, high, scope, toa).withColumn("tof", F.col(toa) - F.col("t_trigger"))

@@ -139,6 +139,8 @@ bt AS (SELECT buffer, toa AS t, max(n) AS event_num FROM b WHERE size >= 2 GROUP
         "split_frames": li(PIXEL_SUMS),
         "followed_frames": li(PIXEL_SUMS),
         "correlate_stream": ev(f"SELECT x, y, h.toa, tot, p.t_trigger, h.toa - p.t_trigger AS tof FROM hi h ASOF JOIN pt p ON h.toa >= p.t_trigger WHERE h.toa - p.t_trigger BETWEEN 0 AND {WIN}"),
+        "streamed_pixels": ev(f"SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(toa AS DOUBLE) AS toa, tot FROM hi"),
+        "filtered_scan": ev(f"SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(toa AS DOUBLE) AS toa, tot FROM hi WHERE toa >= 5000000000000 AND toa < {5_000_000_000_000 + 10 * DAY}"),
         "live_accumulators": ev(f"SELECT 'image' AS acc, toa // {DAY} AS day, greatest(0, least(255, y)) AS shard, CAST({CLIP} AS BIGINT) AS slot, count(*) AS count FROM co GROUP BY ALL UNION ALL SELECT 'spectrum', toa // {DAY}, CAST(b // 64 AS INTEGER), b, count(*) FROM (SELECT toa, CAST(least(999, floor(tof * 1000.0 / {WIN})) AS BIGINT) AS b FROM co) GROUP BY ALL UNION ALL SELECT 'roi', toa // {DAY}, r, CAST(0 AS BIGINT), count(*) FROM co JOIN (VALUES (0, 0, 60000000), (1, 50000000, 300000000), (2, 300000001, 600000000)) v(r, lo, hi) ON tof BETWEEN lo AND hi GROUP BY ALL"),
         "recorded_events": ev(f"SELECT CAST(t_trigger AS DOUBLE) AS t_trigger, {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(tof AS DOUBLE) AS tof, tot FROM co"),
         "recorded_pixels": ev(f"SELECT {CLIP} AS x, greatest(0, least(255, y)) AS y, CAST(toa AS DOUBLE) AS toa, tot FROM hi"),

@@ -369,6 +369,26 @@ def recorded_triggers(s, d):
     return _recorded(s, d, "triggers", V.triggers(s, d).select(F.col("toa").cast("double"), "tdc_id", "edge"))
 
 
+def streamed_pixels(s, d):
+    """The pixels as a stream of files into packed files, several writers a batch, and back."""
+    at = scratch(s)
+    packed.register(s)
+    filters.clipped(V.hits(s, d)).select("x", "y", F.col("toa").cast("double"), "tot").repartition(8).write.parquet(f"{at}/hits")
+    stream = s.readStream.schema(packed.S.schema("pixels")).option("maxFilesPerTrigger", 4).parquet(f"{at}/hits")
+    writer = stream.writeStream.format("packed").option("kind", "pixels").option("name", "run").option("checkpointLocation", f"{at}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{at}/run").awaitTermination()
+    return s.read.format("packed").option("kind", "pixels").option("name", "run").load(f"{at}/run")
+
+
+def filtered_scan(s, d):
+    """Pixels of a stretch of time: the blocks of sorted files that can hold them."""
+    folder, clipped = scratch(s), filters.clipped(V.hits(s, d))
+    packed.register(s)
+    rows = clipped.select("x", "y", F.col("toa").cast("double"), "tot").repartitionByRange("toa").sortWithinPartitions("toa")
+    rows.write.format("packed").option("kind", "pixels").option("name", "run").option("index", "true").mode("append").save(folder)
+    return s.read.format("packed").option("kind", "pixels").load(folder).filter((F.col("toa") >= float(CLEARED)) & (F.col("toa") < float(CLEARED + 10 * DAY)))
+
+
 def tofbin_scan(s, d):
     folder = scratch(s)
     recorded = _events(s, d)
@@ -444,7 +464,7 @@ FOUND = [
     sorted_hits, correlate_offline_by_buffer, display_mode, auto_clear_images, image_since_clear, roi_lifecycle, roi_lifecycle_images, single_roi, accumulator_stats_by_roi,
     coalesced_updates, chunk_diagnostics, parse_frames, parse_packets, recorded_events, recorded_pixels, recorded_triggers, tofbin_scan, corrections_scan, run_events,
     merged_run, label_files, numbered_label_files, run_folder_status,
-    split_frames, followed_frames, live_accumulators, correlate_stream,
+    split_frames, followed_frames, live_accumulators, correlate_stream, streamed_pixels, filtered_scan,
 ]
 
 

@@ -37,7 +37,7 @@ def _write(rows: DataFrame, kind: str, folder: Path, name: str) -> Path:
 def process_run(spark: SparkSession, folder: str, epsilon: float = 2.0, min_points: int = 1, tof_threshold: float = 2e-4, correction: str | None = None, labels: bool = False, force: bool = False, output: str | None = None) -> dict:
     """Centroids of all event files of a run folder as ``<folder>_centroids.datbin``, by shot; with ``labels`` also every
     event's cluster as ``<folder>.toflabels``. What is there already is kept unless ``force``. Triggers come from the run's
-    trigger files; without any, the events' own trigger times number the shots."""
+    trigger files; without any, the events' own trigger times number the shots. Events whose time is no trigger's are an error, as they have no shot."""
     run = runs.Run(spark, folder)
     out = Path(output) if output else run.folder
     made = out / f"{run.folder.name}{packed.suffix('merged')}"
@@ -48,7 +48,7 @@ def process_run(spark: SparkSession, folder: str, epsilon: float = 2.0, min_poin
     knots = runs.read_corrections(spark, correction) if correction else None
     triggers = run.triggers if packed.files_of(run.folder, "triggers") else run.events.select(F.col("t_trigger").alias("toa")).distinct()
     centroids = runs.centroid_run(run.events, triggers, epsilon, min_points, tof_threshold, knots)
-    _write(centroids.withColumn("shot_index", F.coalesce("shot_index", F.lit(0))), "merged", out, run.folder.name)
+    _write(centroids.withColumn("shot_index", F.coalesce("shot_index", F.raise_error(F.lit("events whose trigger is in no trigger file")).cast("long"))), "merged", out, run.folder.name)
     if labels:
         found = cluster.numbered(runs.labelled_run(run.events, epsilon, min_points, tof_threshold, knots), "t_trigger")
         rows = found.select(F.col("t_trigger").alias("shot"), "x", "y", F.col("tof_c").alias("tof"), "tot", "label")
@@ -56,9 +56,9 @@ def process_run(spark: SparkSession, folder: str, epsilon: float = 2.0, min_poin
     return {"run": run.folder.name, "path": str(made), "n_centroids": made.stat().st_size // packed.dtype("merged").itemsize, "made": True}
 
 
-def process_files(spark: SparkSession, folder: str, epsilon: float = 2.0, min_points: int = 1, tof_threshold: float = 2e-4, correction: str | None = None, output: str | None = None, progress=None) -> dict[str, int | None]:
-    """Each event file's own centroids as ``<file>.datbin``: number of centroids by file, None for a file that failed.
-    ``progress(done, of, name)`` is called after each file."""
+def process_files(spark: SparkSession, folder: str, epsilon: float = 2.0, min_points: int = 1, tof_threshold: float = 2e-4, correction: str | None = None, output: str | None = None, progress=None, errors: dict | None = None) -> dict[str, int | None]:
+    """Each event file's own centroids as ``<file>.datbin``: number of centroids by file, None for a file that failed, whose error
+    goes to ``errors`` by name. ``progress(done, of, name)`` is called after each file."""
     packed.register(spark)
     files, out = packed.files_of(Path(folder), "events"), {}
     knots = runs.read_corrections(spark, correction) if correction else None
@@ -69,8 +69,10 @@ def process_files(spark: SparkSession, folder: str, epsilon: float = 2.0, min_po
             labelled = runs.labelled_run(events, epsilon, min_points, tof_threshold, knots).filter("cluster >= 0")
             means = aggregate.weighted_centroids(labelled, ["t_trigger", "cluster"], "tof_c").orderBy("t_trigger", "cluster")
             out[name] = _write(means, "centroids", Path(output or folder), name).stat().st_size // packed.dtype("centroids").itemsize
-        except Exception:  # noqa: BLE001  one broken file doesn't stop the others
+        except Exception as e:  # noqa: BLE001  one broken file doesn't stop the others
             out[name] = None
+            if errors is not None:
+                errors[name] = str(e).split("\n")[0]
         if progress:
             progress(k + 1, len(files), name)
     return out
