@@ -132,3 +132,16 @@ def test_ten_shots_read_their_blocks_only(source, tmp_path):
     rows = source.read.format("packed").option("kind", "events").load(str(tmp_path))
     got = rows.filter((F.col("t_trigger") >= packed.BLOCK + 1.0) & (F.col("t_trigger") <= packed.BLOCK + 10.0)).collect()
     assert sorted(r.tot for r in got) == list(range(packed.BLOCK + 1, packed.BLOCK + 11))
+
+
+def test_events_whose_trigger_is_missing_are_an_error(source, tmp_path):
+    from pixelflow.sources import processing
+
+    folder = tmp_path / "run"
+    table(source, 1, 3).coalesce(1).write.format("packed").option("kind", "events").option("name", "run").mode("append").save(str(folder))
+    known = source.createDataFrame([(1.0, 1, 0)], packed.S.schema("triggers")).coalesce(1)
+    known.write.format("packed").option("kind", "triggers").option("name", "run").mode("append").save(str(folder))
+    with pytest.raises(Exception, match="in no trigger file"):
+        processing.process_run(source, str(folder), tof_threshold=10.0)
+    errors = {}
+    assert processing.process_files(source, str(folder), output="/proc/none", errors=errors) == {"run": None} and errors["run"]
