@@ -56,6 +56,10 @@ def process_run(spark: SparkSession, folder: str, epsilon: float = 2.0, min_poin
     return {"run": run.folder.name, "path": str(made), "n_centroids": made.stat().st_size // packed.dtype("merged").itemsize, "made": True}
 
 
+def _told(e: Exception) -> str:
+    return next((x for x in str(e).splitlines() if x.strip()), type(e).__name__)
+
+
 def process_files(spark: SparkSession, folder: str, epsilon: float = 2.0, min_points: int = 1, tof_threshold: float = 2e-4, correction: str | None = None, output: str | None = None, progress=None, errors: dict | None = None) -> dict[str, int | None]:
     """Each event file's own centroids as ``<file>.datbin``: number of centroids by file, None for a file that failed, whose error
     goes to ``errors`` by name. ``progress(done, of, name)`` is called after each file."""
@@ -72,7 +76,7 @@ def process_files(spark: SparkSession, folder: str, epsilon: float = 2.0, min_po
         except Exception as e:  # noqa: BLE001  one broken file doesn't stop the others
             out[name] = None
             if errors is not None:
-                errors[name] = str(e).split("\n")[0]
+                errors[name] = _told(e)
         if progress:
             progress(k + 1, len(files), name)
     return out
@@ -86,7 +90,7 @@ def process_all(spark: SparkSession, root: str, **options) -> DataFrame:
             got = process_run(spark, str(folder), **options)
             rows.append((got["run"], got["n_centroids"], got["made"], None))
         except Exception as e:  # noqa: BLE001  the run's error is its row
-            rows.append((folder.name, None, False, str(e).split("\n")[0]))
+            rows.append((folder.name, None, False, _told(e)))
     return spark.createDataFrame(rows, "run string, n_centroids long, made boolean, error string")
 
 

@@ -138,7 +138,8 @@ def test_events_whose_trigger_is_missing_are_an_error(source, tmp_path):
     from pixelflow.sources import processing
 
     folder = tmp_path / "run"
-    table(source, 1, 3).coalesce(1).write.format("packed").option("kind", "events").option("name", "run").mode("append").save(str(folder))
+    pairs = table(source, 1, 3).unionByName(table(source, 1, 3))  # a cluster for each of two shots
+    pairs.coalesce(1).write.format("packed").option("kind", "events").option("name", "run").mode("append").save(str(folder))
     known = source.createDataFrame([(1.0, 1, 0)], packed.S.schema("triggers")).coalesce(1)
     known.write.format("packed").option("kind", "triggers").option("name", "run").mode("append").save(str(folder))
     with pytest.raises(Exception, match="in no trigger file"):
