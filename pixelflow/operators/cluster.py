@@ -14,55 +14,75 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelflow.functions.ordering import SPANS, spanned
+from pixelflow.operators import huge_shots
+from pixelflow.sources import store
 
 DENSE = 512  # points up to which all pairs of a shot are compared at once
+PAIRS = 1 << 20  # pairs that are compared at a time in a larger one
 Z_NS = 500.0  # time of flight, in ns, that is worth eps
+HUGE = 1_000_000  # points of a shot beyond which files' clustering deals it over tasks
+LISTED = 200_000  # shots that are broadcast
 
 
 def neighbours(points: DataFrame, eps: float, keys: list[str], pid: str = "pid") -> DataFrame:
-    """Pairs (pid, other) within eps in (x, y, z), self left out, by a grid: each cell meets itself and its 26 neighbours."""
+    """Pairs (pid, other) within eps in (x, y, z), self left out, by a grid: each cell meets itself and the 13 of its
+    26 neighbours that follow it, and a pair that is found is given both ways."""
     cell = {c: F.floor(F.col(c) / eps).cast("long") for c in "xyz"}
     left = points.select(*keys, pid, "x", "y", "z", *(v.alias(f"c{c}") for c, v in cell.items()))
-    around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    after = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
     right = points.select(*keys, F.col(pid).alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *(v.alias(f"c{c}") for c, v in cell.items()))
+    right = right.withColumn("_d", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("xyz", d))) for d in after))))
     for c in "xyz":
-        right = right.withColumn("_d", around).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
+        right = right.withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"_d.{c}"))
     near = sum((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in "xyz") <= eps * eps
-    return left.join(right, [*keys, "cx", "cy", "cz"]).filter(near & (F.col(pid) != F.col("other"))).select(*keys, pid, "other")
+    once = (F.col("_d") != F.struct(F.lit(0), F.lit(0), F.lit(0))) & (F.col(pid) != F.col("other")) | (F.col(pid) < F.col("other"))
+    pairs = left.join(right, [*keys, "cx", "cy", "cz"]).filter(near & once)
+    ways = F.array(F.struct(F.col(pid).alias("a"), F.col("other").alias("b")), F.struct(F.col("other").alias("a"), F.col(pid).alias("b")))
+    return pairs.select(*keys, F.explode(ways).alias("_p")).select(*keys, F.col("_p.a").alias(pid), F.col("_p.b").alias("other"))
 
 
 def _near(xyz: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of points within eps: all at once for few points, else cell by cell with the cells that follow it."""
+    """Pairs i < j of points within eps: all at once for few points, else each with its cell and the cells that follow it."""
     n = len(xyz)
     if n <= DENSE:
         d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
         i, j = np.nonzero(d <= eps)
         return i[i < j], j[i < j]
-    cells, of = np.unique(np.floor(xyz / eps).astype(np.int64), axis=0, return_inverse=True)
-    order = np.argsort(of.ravel(), kind="stable")
-    members = np.split(order, np.cumsum(np.bincount(of.ravel()))[:-1])
-    place = {c: k for k, c in enumerate(map(tuple, cells.tolist()))}
-    after = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-    left, right = [], []
-    for (a, b, c), k in place.items():
-        mine = members[k]
-        others = np.concatenate([mine, *(members[o] for da, db, dc in after if (o := place.get((a + da, b + db, c + dc))) is not None)])
-        d = np.sqrt(((xyz[mine][:, None] - xyz[others][None]) ** 2).sum(axis=2))
-        i, j = np.nonzero(d <= eps)
-        fresh = (j >= len(mine)) | (i < j)  # within the cell, each pair once
-        left.append(mine[i[fresh]])
-        right.append(others[j[fresh]])
-    left, right = np.concatenate(left), np.concatenate(right)
+    whole = np.flatnonzero(np.isfinite(xyz).all(axis=1))
+    code, step = np.zeros(len(whole), np.int64), []
+    for v in xyz[whole].T:  # cells' numbers with gaps closed but for one, so that only neighbours are neighbours
+        found, of = np.unique(np.floor(v / eps), return_inverse=True)
+        close = np.append(0, np.cumsum(np.minimum(np.diff(found), 2))).astype(np.int64) + 1
+        size = int(close[-1]) + 2
+        step = [s * size for s in step] + [1]
+        if (int(code.max(initial=0)) + 2) * size >= 1 << 62:
+            raise ValueError("a shot spreads too far for one task: cluster it in boxes")
+        code = code * size + close[of.ravel()]
+    turn = np.argsort(code, kind="stable")
+    code, at, whole = code[turn], xyz[whole[turn]], whole[turn]
+    after = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for d in after:
+        other = code + sum(k * s for k, s in zip(d, step))
+        low, high = np.searchsorted(code, other), np.searchsorted(code, other, "right")
+        low = low if any(d) else np.arange(1, len(code) + 1)  # within the cell, each pair once
+        ends = np.cumsum(high - low)
+        start = 0
+        while start < len(code):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+            n_ = (high - low)[start:stop]
+            i = np.repeat(np.arange(start, stop), n_)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n_) - n_, n_) + np.repeat(low[start:stop], n_)
+            near = np.sqrt(((at[i] - at[j]) ** 2).sum(axis=1)) <= eps
+            found.append((whole[i[near]], whole[j[near]]))
+            start = stop
+    left, right = (np.concatenate(x) for x in zip(*found))
     return np.minimum(left, right), np.maximum(left, right)
 
 
-def _labels(xyz: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Components of core points, numbered by their first point; -1 for the rest."""
-    n = len(xyz)
-    i, j = _near(xyz, eps)
-    core = np.bincount(i, minlength=n) + np.bincount(j, minlength=n) >= min_points
-    joined = core[i] & core[j]
-    i, j, root = i[joined], j[joined], np.arange(n)
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first point of each point's component, by the pairs i, j."""
+    root = np.arange(n)
     while True:
         low = np.minimum(root[i], root[j])
         new = root.copy()
@@ -71,10 +91,18 @@ def _labels(xyz: np.ndarray, eps: float, min_points: int) -> np.ndarray:
         while (new[new] != new).any():
             new = new[new]
         if (new == root).all():
-            break
+            return root
         root = new
+
+
+def _labels(xyz: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """Components of core points, numbered by their first point; -1 for the rest."""
+    n = len(xyz)
+    i, j = _near(xyz, eps)
+    core = np.bincount(i, minlength=n) + np.bincount(j, minlength=n) >= min_points
+    joined = core[i] & core[j]
     out = np.full(n, -1, np.int64)
-    out[core] = np.unique(root[core], return_inverse=True)[1]
+    out[core] = np.unique(_roots(n, i[joined], j[joined])[core], return_inverse=True)[1]
     return out
 
 
@@ -102,9 +130,21 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Ta
         yield pa.Table.from_batches(held), np.zeros(1, np.int64)
 
 
-def density(points: DataFrame, eps: float, min_points: int, shot: str = "shot", order: list[str] = ("pid",)) -> DataFrame:
+def density(points: DataFrame, eps: float, min_points: int, shot: str = "shot", order: list[str] = ("pid",), huge: int | None = None, limit: int = huge_shots.LIMIT) -> DataFrame:
     """``points`` (with x, y, tof in seconds) with ``cluster``: from 0 within each shot, -1 for noise. Border points are
-    noise, and so is all without a shot."""
+    noise, and so is all without a shot.
+
+    A shot is one task, but for those of more than ``huge`` points, if that is given: a pass counts the shots' points, and
+    ``huge_shots`` deals the large ones over tasks, in boxes of ``limit`` places. In these, points that lack a place are noise."""
+    if huge is not None:
+        sizes = points.filter(F.col(shot).isNotNull()).groupBy(F.col(shot).alias("_big")).count().filter(F.col("count") > huge).select("_big")
+        sizes = huge_shots._written(sizes, f"{store.scratch(points.sparkSession)}/huge")
+        if n := sizes.count():
+            sizes = F.broadcast(sizes) if n <= LISTED else sizes
+            on = F.col(shot) == F.col("_big")
+            large = points.join(sizes, on, "left_semi")
+            found = huge_shots.clustered(large, f"tof * {eps / (Z_NS * 1e-9)!r}D", eps, min_points, shot, list(order), limit)
+            return density(points.join(sizes, on, "left_anti"), eps, min_points, shot, order).unionByName(found)
     fields = points.schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "cluster long"])
 

@@ -118,6 +118,7 @@ SELECT run, CASE WHEN n_files = 0 THEN 'EMPTY' WHEN made IS NULL THEN 'READY' WH
         "rebased_shots": ev("SELECT event_id, event_id % 4 AS file, t_trigger // 1000000 - min(t_trigger // 1000000) OVER (PARTITION BY event_id % 4) + 1 AS shot FROM co"),
         "eps_neighbours": po("SELECT shot, pid, count(*) AS n FROM nb GROUP BY ALL"),
         "density_labels": po("SELECT pt.shot, pt.pid, coalesce(cluster, -1) AS cluster FROM pt LEFT JOIN clu USING (shot, pid)"),
+        "density_in_boxes": po("SELECT pt.shot, pt.pid, coalesce(cluster, -1) AS cluster FROM pt LEFT JOIN clu USING (shot, pid)"),
         "density_numbered": po("SELECT shot, pid, dense_rank() OVER (ORDER BY shot, cluster) - 1 AS label FROM clu"),
         "centroids_weighted": po("SELECT shot, cluster, round(sum(x * tot) / sum(tot), 6) AS x, round(sum(y * tot) / sum(tot), 6) AS y, 0.0::DOUBLE AS tof, max(tot) AS tot FROM pt JOIN clu USING (shot, pid) GROUP BY ALL"),
             "sorted_hits": ev("SELECT event_id, toa, row_number() OVER (ORDER BY toa, event_id) - 1 AS position FROM hi"),

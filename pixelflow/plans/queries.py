@@ -197,6 +197,11 @@ def density_labels(s, d):
     return cluster.density(V.points(s, d), EPS, LEAST_POINTS).select("shot", "pid", "cluster")
 
 
+def density_in_boxes(s, d):
+    """Every shot of two points or more is dealt over boxes, which hold one place and those around it."""
+    return cluster.density(V.points(s, d), EPS, LEAST_POINTS, huge=1, limit=1).select("shot", "pid", "cluster")
+
+
 def density_numbered(s, d):
     return filters.without_noise(cluster.numbered(cluster.density(V.points(s, d), EPS, LEAST_POINTS))).select("shot", "pid", "label")
 
@@ -459,7 +464,7 @@ FOUND = [
     classify_packets, decode_pixel_address, decode_pixel_time, extend_timestamp, decode_trigger, ticks_to_seconds, time_range, filter_triggers, primary_triggers,
     correlate_live, correlate_live_by_buffer, correlate_offline, shot_index, tof_correction, tof_histogram, toa_histogram, pixel_image, roi_images, roi_counts,
     accumulator_stats, timeseries_per_shot, timeseries_compat, series_last_n, running_trigger_max, stride_sample, clipped_hits, threshold_filter, merge_triggers,
-    shot_table, events_for_shot, events_in_range, absolute_times, run_summary, run_status, rebased_shots, eps_neighbours, density_labels, density_numbered,
+    shot_table, events_for_shot, events_in_range, absolute_times, run_summary, run_status, rebased_shots, eps_neighbours, density_labels, density_in_boxes, density_numbered,
     centroids_weighted, greedy_centroids,
     sorted_hits, correlate_offline_by_buffer, display_mode, auto_clear_images, image_since_clear, roi_lifecycle, roi_lifecycle_images, single_roi, accumulator_stats_by_roi,
     coalesced_updates, chunk_diagnostics, parse_frames, parse_packets, recorded_events, recorded_pixels, recorded_triggers, tofbin_scan, corrections_scan, run_events,
