@@ -47,10 +47,10 @@ def process_run(spark: SparkSession, folder: str, epsilon: float = 2.0, min_poin
         return {"run": run.folder.name, "path": str(made), "n_centroids": made.stat().st_size // packed.dtype("merged").itemsize, "made": False}
     knots = runs.read_corrections(spark, correction) if correction else None
     triggers = run.triggers if packed.files_of(run.folder, "triggers") else run.events.select(F.col("t_trigger").alias("toa")).distinct()
-    centroids = runs.centroid_run(run.events, triggers, epsilon, min_points, tof_threshold, knots)
+    centroids = runs.centroid_run(run.events, triggers, epsilon, min_points, tof_threshold, knots, cluster.HUGE)
     _write(centroids.withColumn("shot_index", F.coalesce("shot_index", F.raise_error(F.lit("events whose trigger is in no trigger file")).cast("long"))), "merged", out, run.folder.name)
     if labels:
-        found = cluster.numbered(runs.labelled_run(run.events, epsilon, min_points, tof_threshold, knots), "t_trigger")
+        found = cluster.numbered(runs.labelled_run(run.events, epsilon, min_points, tof_threshold, knots, huge=cluster.HUGE), "t_trigger")
         rows = found.select(F.col("t_trigger").alias("shot"), "x", "y", F.col("tof_c").alias("tof"), "tot", "label")
         _write(rows.orderBy("shot", "label", "x", "y", "tof", "tot"), "labels", out, run.folder.name)
     return {"run": run.folder.name, "path": str(made), "n_centroids": made.stat().st_size // packed.dtype("merged").itemsize, "made": True}
@@ -70,7 +70,7 @@ def process_files(spark: SparkSession, folder: str, epsilon: float = 2.0, min_po
         name = f.name.removesuffix("_events.dat")
         try:
             events = spark.read.format("packed").option("kind", "events").load(str(f))
-            labelled = runs.labelled_run(events, epsilon, min_points, tof_threshold, knots).filter("cluster >= 0")
+            labelled = runs.labelled_run(events, epsilon, min_points, tof_threshold, knots, huge=cluster.HUGE).filter("cluster >= 0")
             means = aggregate.weighted_centroids(labelled, ["t_trigger", "cluster"], "tof_c").orderBy("t_trigger", "cluster")
             out[name] = _write(means, "centroids", Path(output or folder), name).stat().st_size // packed.dtype("centroids").itemsize
         except Exception as e:  # noqa: BLE001  one broken file doesn't stop the others

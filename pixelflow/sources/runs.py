@@ -95,9 +95,9 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("run"), kind.alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter("kind is not null")
 
 
-def labelled_run(events: DataFrame, eps: float, min_points: int, tof_max: float, corrections: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
+def labelled_run(events: DataFrame, eps: float, min_points: int, tof_max: float, corrections: DataFrame | None = None, scope: list[str] = (), huge: int | None = None) -> DataFrame:
     """Events up to ``tof_max`` with ``tof_c`` (corrected) and ``cluster`` by shot, -1 for noise. ``scope``: further columns
-    that part shots, such as the file for parity with file-by-file processing."""
+    that part shots, such as the file for parity with file-by-file processing. ``huge``: as ``cluster.density`` takes it."""
     from pixelflow.operators import cluster, correlate
 
     scope = list(scope)
@@ -105,17 +105,17 @@ def labelled_run(events: DataFrame, eps: float, min_points: int, tof_max: float,
     kept = correlate.interpolated(kept, corrections, "tot", "_c").withColumn("tof_c", F.col("tof") - F.col("_c")).drop("_c") if corrections is not None else kept.withColumn("tof_c", F.col("tof"))
     order = ["x", "y", "tof", "tot"]
     if not scope:
-        return cluster.density(kept, eps, min_points, "t_trigger", order)
+        return cluster.density(kept, eps, min_points, "t_trigger", order, huge)
     shots = kept.withColumn("_shot", F.xxhash64("t_trigger", *scope))
-    return cluster.density(shots, eps, min_points, "_shot", ["t_trigger", *scope, *order]).drop("_shot")
+    return cluster.density(shots, eps, min_points, "_shot", ["t_trigger", *scope, *order], huge).drop("_shot")
 
 
-def centroid_run(events: DataFrame, triggers: DataFrame, eps: float, min_points: int, tof_max: float, corrections: DataFrame | None = None) -> DataFrame:
+def centroid_run(events: DataFrame, triggers: DataFrame, eps: float, min_points: int, tof_max: float, corrections: DataFrame | None = None, huge: int | None = None) -> DataFrame:
     """Merged centroids of a run: filter, correct, cluster by shot, weigh, and place among the triggers.
 
     Shots keep their absolute times, so shot_index is the position of the trigger that the hits belong to."""
     from pixelflow.operators import correlate
 
-    labelled = labelled_run(events, eps, min_points, tof_max, corrections).filter("cluster >= 0")
+    labelled = labelled_run(events, eps, min_points, tof_max, corrections, huge=huge).filter("cluster >= 0")
     means = aggregate.weighted_centroids(labelled, ["t_trigger", "cluster"], "tof_c").drop("cluster")
     return correlate.shot_index(means, triggers).orderBy("shot_index", "x", "y")
