@@ -198,8 +198,9 @@ def density_labels(s, d):
 
 
 def density_in_boxes(s, d):
-    """Every shot of two points or more is dealt over boxes, which hold one place and those around it."""
-    return cluster.density(V.points(s, d), EPS, LEAST_POINTS, huge=1, limit=1).select("shot", "pid", "cluster")
+    """Shots of more than four points go through boxes, the others through one task each. These shots are narrow, a cell or
+    a few; ``tests/test_huge_shots.py`` has wide ones."""
+    return cluster.density(V.points(s, d), EPS, LEAST_POINTS, huge=4, limit=1).select("shot", "pid", "cluster")
 
 
 def density_numbered(s, d):
