@@ -6,8 +6,10 @@ over the pairs (Newton steps, a ridge). So only differences are learned, and the
 threshold is a quantile of the labelled scores: as many fall below it as are labelled 0. Scores are reported
 as sigmoid(w . x - threshold + logit(CUT)), so CUT is the threshold on that scale.
 
-Features are computed once, over whole texts, and written; fitting and scoring read them. The fit takes SAMPLE rows of each label at
-most, by a hash of the id, and PAIRS partners for each row of the rarer label; counts of labels are over all of them. Scores see
+Features are computed once, over whole texts, and written; fitting and scoring read them. The fit takes every labelled row: means,
+deviations and the threshold are those of all of them, and each row stands in a pair. A row of the rarer label has PAIRS partners,
+or more where the other label has more than PAIRS times its rows: both labels are numbered by a hash of the id, and partners are
+dealt in turn. The pairs are written once; each Newton step is a pass over them, in which a task gives one sum. Scores see
 texts only.
 
 A null text is empty; empty texts get a score like others. Repeated rows get equal scores. Labels other than 0 and 1, and those of ids
@@ -17,15 +19,17 @@ label 1 among them, or one half. An empty table gives an empty result."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelflow.llm.common import materialize
+from pixelflow.functions.ordering import with_index
+from pixelflow.llm.common import free, materialize
 
-SAMPLE, PAIRS = 4000, 16
+PAIRS = 16
 CUT = 0.7
 RIDGE, STEPS, FAR = 1e-3, 25, 6.0  # FAR: standard deviations beyond which a feature is cut
 SIGNS = b"#*$%&|<>!.,;:?-_/@=+()[]{}\"'~^`\\"
@@ -110,6 +114,25 @@ def preferences(labels: np.ndarray, seed: int = 20240607) -> tuple[np.ndarray, n
     return pairs if few is one else pairs[::-1]
 
 
+def steps(apart: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and bend of the loss over pairs ``apart``, without the ridge, and their number; adds up over parts."""
+    win = 1 / (1 + np.exp(-np.clip(apart @ w, -500, 500)))
+    return np.concatenate([apart.T @ (1 - win), ((apart * (win * (1 - win))[:, None]).T @ apart).ravel(), [len(apart)]])
+
+
+def fitted(sums, size: int) -> np.ndarray:
+    """Weights at which the loss is least; ``sums(w)`` gives ``steps`` over all pairs."""
+    w = np.zeros(size)
+    for _ in range(STEPS):
+        *both, n = sums(w)
+        slope, bend = np.array(both[:size]) / n - RIDGE * w, np.array(both[size:]).reshape(size, size) / n + RIDGE * np.eye(size)
+        step = np.linalg.solve(bend, slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
 def learned(x: np.ndarray, labels: np.ndarray, share: float) -> Ranker:
     """The model of the rows ``x``; ``share``: of label 0 among all labels."""
     x = x.astype(np.float64)
@@ -118,15 +141,7 @@ def learned(x: np.ndarray, labels: np.ndarray, share: float) -> Ranker:
     z = np.clip((x - mean) / scale, -FAR, FAR)
     winners, losers = preferences(labels)
     apart = z[winners] - z[losers]
-    w = np.zeros(x.shape[1])
-    for _ in range(STEPS):
-        win = 1 / (1 + np.exp(-np.clip(apart @ w, -500, 500)))
-        slope = apart.T @ (1 - win) / len(apart) - RIDGE * w
-        bend = (apart * (win * (1 - win))[:, None]).T @ apart / len(apart) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
-            break
+    w = fitted(lambda w: steps(apart, w), x.shape[1])
     model = Ranker(mean, scale, w, 0.0)
     model.threshold = quantile(model.raw(x), np.where(labels == 0, share / (labels == 0).sum(), (1 - share) / (labels == 1).sum()), share)
     return model
@@ -145,17 +160,88 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _rows(column) -> np.ndarray:
+    """A batch's lists of features as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _sums(df: DataFrame, of) -> list[np.ndarray]:
+    """``of(batches)``, a short vector, of each task that has rows."""
+
+    def run(batches):
+        got = of(b for b in batches if b.num_rows)
+        if got is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    return [np.array(r["sums"]) for r in df.mapInArrow(run, "sums array<double>").collect()]
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Number, mean and squared deviations of two parts together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart**2 * (a[0] * b[0] / n)
+
+
+def _moments(batches) -> np.ndarray | None:
+    parts = [(len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)) for x in (_rows(b.column(0)) for b in batches)]
+    return np.concatenate([np.atleast_1d(v) for v in reduce(_joined, parts)]) if parts else None
+
+
+def pairs(rows: DataFrame, counts: dict[int, int], mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """``apart``, winner less loser, of each pair. ``rows``: label and features, of which ``counts`` tells how many there are."""
+    few, many = sorted((1, 0), key=counts.get)
+    each = min(max(PAIRS, -(-counts[many] // counts[few])), counts[many])  # partners of a row: every row of the other label is one
+    placed = with_index(rows.withColumn("_h", F.xxhash64("doc_id", F.lit(13))), "_h", ["doc_id", "features"], "_at", ["label"])
+    turn = F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_k")
+    left = placed.filter(F.col("label") == few).select("_at", "features", turn).select(((F.col("_at") * each + F.col("_k")) % counts[many]).alias("_to"), F.col("features").alias("a"))
+    right = placed.filter(F.col("label") == many).select(F.col("_at").alias("_to"), F.col("features").alias("b"))
+    sign = 1 if few == 1 else -1
+
+    def run(batches):
+        for b in batches:
+            z = [np.clip((_rows(b.column(k)) - mean) / scale, -FAR, FAR) for k in (0, 1)] if b.num_rows else [np.zeros((0, len(mean)))] * 2
+            flat = (sign * (z[0] - z[1])).astype(np.float32)
+            found = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(mean), pa.int32()), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([found], ["apart"])
+
+    return left.join(right, "_to").select("a", "b").mapInArrow(run, "apart array<float>")
+
+
 def fit(described_docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ranker | float:
-    """The model, or the share of label 1 where there aren't labels of both kinds. ``labels``: doc_id and label to learn from."""
+    """The model of all labelled rows, or the share of label 1 where there aren't labels of both kinds. ``labels``: doc_id and label
+    to learn from."""
     rows = described_docs.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)"), "doc_id")
-    rows = materialize(rows, "labelled")
+    rows = materialize(rows.select("doc_id", "label", "features"), "labelled")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "features").limit(SAMPLE).select("label", "features").toArrow() for k in (0, 1)]
-    drawn = pa.concat_tables(parts).combine_chunks()
-    x = drawn["features"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(drawn.num_rows, -1)
-    return learned(x, drawn["label"].to_numpy(), counts[0] / (counts[0] + counts[1]))
+    parts = _sums(rows.select("features"), _moments)
+    size = len(parts[0]) // 2
+    n, mean, squares = reduce(_joined, [(p[0], p[1 : size + 1], p[size + 1 :]) for p in parts])
+    mean, scale = np.round(mean, 12), np.round(np.sqrt(squares / n), 12)  # sums differ in their last places with the tasks
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    apart = materialize(pairs(rows, counts, mean, scale), "pairs")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def of(batches):
+            return reduce(np.add, (steps(_rows(b.column(0)), w) for b in batches), np.zeros(size * size + size + 1))
+
+        return reduce(np.add, _sums(apart, of))
+
+    model = Ranker(mean, scale, np.round(fitted(sums, size), 9), 0.0)
+    free(apart)
+
+    def scored(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.raw(_rows(b.column(0))))], ["raw"])
+
+    # As many of the labelled scores lie below the threshold as are labelled 0.
+    placed = with_index(materialize(rows.select("features").mapInArrow(scored, "raw double"), "scores"), "raw", [], "_at")
+    around = placed.filter(F.col("_at").isin(counts[0] - 1, counts[0])).agg(F.avg("raw")).first()[0]
+    model.threshold = float(around)
+    free(rows)
+    return model
 
 
 def ranked(described_docs: DataFrame, model: Ranker | float) -> DataFrame:

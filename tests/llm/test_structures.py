@@ -264,3 +264,19 @@ def test_recall_on_the_given_tables(spark, sf):
     assert set(found) == set(true)
     recall = [len(found[q] & true[q]) / len(true[q]) for q in true]
     assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
+def test_every_labelled_row_is_fitted(spark):
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"))
+    noise = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000
+    told = rows.select("doc_id", F.array(noise, F.col("quality") + noise * 2, F.when(F.col("doc_id") == 11_999, 1.0).otherwise(0.0)).cast("array<float>").alias("features"))
+    model = quality_ranker.fit(told, rows)
+    x = np.array([r.features for r in told.orderBy("doc_id").collect()])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0))
+    assert (model.raw(x) < model.threshold).sum() == 4000
+    counts = {0: 4000, 1: 8000}
+    found = quality_ranker.pairs(rows.join(told, "doc_id").withColumnRenamed("quality", "label"), counts, model.mean, model.scale)
+    apart = np.array([r.apart for r in found.collect()])
+    assert len(apart) == 4000 * quality_ranker.PAIRS and (apart[:, 2] > 0).any()  # the marked row is in a pair
+    slope = apart.T @ (1 / (1 + np.exp(apart @ model.weights))) / len(apart) - quality_ranker.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-6
