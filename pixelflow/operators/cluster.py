@@ -18,6 +18,7 @@ from pixelflow.operators import huge_shots
 from pixelflow.sources import store
 
 DENSE = 512  # points up to which all pairs of a shot are compared at once
+SMALL = 64  # points up to which shots of one size are compared together
 PAIRS = 1 << 20  # pairs that are compared at a time in a larger one
 Z_NS = 500.0  # time of flight, in ns, that is worth eps
 HUGE = 1_000_000  # points of a shot beyond which files' clustering deals it over tasks
@@ -106,6 +107,36 @@ def _labels(xyz: np.ndarray, eps: float, min_points: int) -> np.ndarray:
     return out
 
 
+def _labels_of(xyz: np.ndarray, starts: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """``_labels`` of each of the groups that begin at ``starts``: those of one size, if they are small, together."""
+    out, size = np.empty(len(xyz), np.int64), np.diff(starts, append=len(xyz))
+    for n in np.unique(size):
+        first = starts[size == n]
+        if n > SMALL:
+            for k in first:
+                out[k : k + n] = _labels(xyz[k : k + n], eps, min_points)
+            continue
+        each = max(1, PAIRS // int(n * n))
+        for part in (first[k : k + each] for k in range(0, len(first), each)):
+            at = part[:, None] + np.arange(n)
+            v = xyz[at]
+            near = np.sqrt(sum((v[:, :, None, c] - v[:, None, :, c]) ** 2 for c in range(3))) <= eps
+            near[:, np.arange(n), np.arange(n)] = False
+            core = near.sum(axis=2) >= min_points
+            near &= core[:, :, None] & core[:, None, :]
+            near[:, np.arange(n), np.arange(n)] = True
+            root = np.broadcast_to(np.arange(n), core.shape)
+            while True:  # the least point that is told along links, until nothing changes
+                new = np.where(near, root[:, None, :], n).min(axis=2)
+                new = np.take_along_axis(new, new, axis=1)
+                if (new == root).all():
+                    break
+                root = new
+            number = np.cumsum(core & (root == np.arange(n)), axis=1) - 1
+            out[at] = np.where(core, np.take_along_axis(number, root, axis=1), -1)
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of a stream sorted by ``key``: tables of some of them, and where each starts; a group may go over batches."""
     held: list[pa.RecordBatch] = []
@@ -152,7 +183,7 @@ def density(points: DataFrame, eps: float, min_points: int, shot: str = "shot",
         for t, starts in _groups(batches, shot):
             at = lambda c: t.column(c).cast(pa.float64()).to_numpy()
             xyz = np.column_stack([at("x"), at("y"), at("tof") * (eps / (Z_NS * 1e-9))])
-            found = np.concatenate([_labels(part, eps, min_points) for part in np.split(xyz, starts[1:])])
+            found = _labels_of(xyz, starts, eps, min_points)
             found[t.column(shot).is_null().to_numpy()] = -1
             yield from t.append_column("cluster", pa.array(found)).combine_chunks().to_batches()
 

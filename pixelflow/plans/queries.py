@@ -415,9 +415,11 @@ def corrections_scan(s, d):
 
 def _run_folder(s, d):
     """A folder with the clustering points as two appended event files and every shot's trigger."""
-    folder = f"{scratch(s)}/run"
+    at = scratch(s)
+    folder = f"{at}/run"
     packed.register(s)
-    p = V.points(s, d).select(F.col("shot").cast("double").alias("t_trigger"), F.col("x").cast("int"), F.col("y").cast("int"), "tof", "tot")
+    V.points(s, d).write.parquet(f"{at}/points")  # three files' rows are made of it
+    p = s.read.parquet(f"{at}/points").select(F.col("shot").cast("double").alias("t_trigger"), F.col("x").cast("int"), F.col("y").cast("int"), "tof", "tot")
     for part in (p.filter("x < 20"), p.filter("x >= 20")):
         part.write.format("packed").option("kind", "events").option("name", "run").mode("append").save(folder)
     t = p.select(F.col("t_trigger").alias("toa"), F.lit(1).cast("short").alias("tdc_id"), F.lit(0).cast("short").alias("edge")).distinct()

@@ -114,8 +114,13 @@ def centroid_run(events: DataFrame, triggers: DataFrame, eps: float, min_points:
     """Merged centroids of a run: filter, correct, cluster by shot, weigh, and place among the triggers.
 
     Shots keep their absolute times, so shot_index is the position of the trigger that the hits belong to."""
+    return centroids_of(labelled_run(events, eps, min_points, tof_max, corrections, huge=huge), triggers)
+
+
+def centroids_of(labelled: DataFrame, triggers: DataFrame) -> DataFrame:
+    """``centroid_run`` of what ``labelled_run`` gives."""
     from pixelflow.operators import correlate
 
-    labelled = labelled_run(events, eps, min_points, tof_max, corrections, huge=huge).filter("cluster >= 0")
+    labelled = labelled.filter("cluster >= 0")
     means = aggregate.weighted_centroids(labelled, ["t_trigger", "cluster"], "tof_c").drop("cluster")
     return correlate.shot_index(means, triggers).orderBy("shot_index", "x", "y")
