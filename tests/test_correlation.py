@@ -62,3 +62,12 @@ def test_late_hits_are_dropped_and_counted(spark, tmp_path):
     assert pair.got() == [(1, 1, 500, 1, 0, 500)]
     pair.run([(2, 2, 600, 1)], [9 * SECOND])
     assert pair.dropped > 0 and pair.got() == [(1, 1, 500, 1, 0, 500)]
+
+
+def test_a_hit_is_held_once_however_many_triggers_are_in_reach(spark, tmp_path):
+    pair, n = Pair(spark, tmp_path, 0, 900_000, "1 second"), 400
+    hits = [(k % 5, 1, 1000 * k + 500, 25) for k in range(n)]
+    pair.run(hits, [1000 * k for k in range(n)])
+    assert pair.state <= 2 * n + 20
+    pair.run([(0, 0, 90 * SECOND, 1)], [90 * SECOND])
+    assert pair.got() == sorted((*h, h[2] - 500, 500) for h in hits)
