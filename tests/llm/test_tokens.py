@@ -28,6 +28,20 @@ def test_equal_to_the_library(text):
     assert np.frombuffer(t.encode(text), "<u2").tolist() == [*t.library.encode_ordinary(text), t.end]
 
 
+def test_training_order_encodes_a_text_by_one_call():
+    t, calls = training_order.Tokens(queries.tokenizer("byte_bpe_50k.tiktoken")), []
+    library = t.library
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return library.encode_ordinary(text)
+
+    t.library = Counted()
+    texts = ["one word\nand one more", "  uneven \t blanks ", ""]
+    assert [np.frombuffer(t.encode(x), "<u2").tolist() for x in texts] == [[*library.encode_ordinary(x), t.end] for x in texts] and calls == texts
+
+
 def test_special_strings_and_long_words():
     for text in ("a<|endoftext|> b <|startoftext|>c", "ab" * 5000):
         assert token_counts.counter(BYTE).count(text) == len(byte.encode(text, add_special_tokens=False).ids)
