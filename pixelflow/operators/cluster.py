@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelflow.functions.ordering import SPANS, spanned
+from pixelflow.functions.ordering import SPANS, bounds_of, spanned
 from pixelflow.operators import huge_shots
 from pixelflow.sources import store
 
@@ -23,6 +23,7 @@ PAIRS = 1 << 20  # pairs that are compared at a time in a larger one
 Z_NS = 500.0  # time of flight, in ns, that is worth eps
 HUGE = 1_000_000  # points of a shot beyond which files' clustering deals it over tasks
 LISTED = 200_000  # shots that are broadcast
+GRAINS = 1 << 16  # groups of shots that are counted first: a shot is huge only if its group is
 
 
 def neighbours(points: DataFrame, eps: float, keys: list[str], pid: str = "pid") -> DataFrame:
@@ -161,13 +162,20 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Ta
         yield pa.Table.from_batches(held), np.zeros(1, np.int64)
 
 
+def _none_over(points: DataFrame, shot: str, huge: int) -> bool:
+    """Whether no group of shots, and so no shot, has more than ``huge`` points: what is shuffled are the groups' numbers."""
+    key = F.col(shot) + F.lit(0.0) if points.schema[shot].dataType.typeName() in ("float", "double") else F.col(shot)  # -0.0 is 0.0
+    counts = points.filter(F.col(shot).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(GRAINS)).alias("_g")).count()
+    return counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] <= huge
+
+
 def density(points: DataFrame, eps: float, min_points: int, shot: str = "shot", order: list[str] = ("pid",), huge: int | None = None, limit: int = huge_shots.LIMIT) -> DataFrame:
     """``points`` (with x, y, tof in seconds) with ``cluster``: from 0 within each shot, -1 for noise. Border points are
     noise, and so is all without a shot.
 
-    A shot is one task, but for those of more than ``huge`` points, if that is given: a pass counts the shots' points, and
-    ``huge_shots`` deals the large ones over tasks, in boxes of ``limit`` places. In these, points that lack a place are noise."""
-    if huge is not None:
+    A shot is one task, but for those of more than ``huge`` points, if that is given: a pass counts the points of groups of
+    shots, one more, if some group is that large, those of the shots, and ``huge_shots`` deals the large ones over tasks, in boxes of ``limit`` places. In these, points that lack a place are noise."""
+    if huge is not None and not _none_over(points, shot, huge):
         sizes = points.filter(F.col(shot).isNotNull()).groupBy(F.col(shot).alias("_big")).count().filter(F.col("count") > huge).select("_big")
         sizes = huge_shots._written(sizes, f"{store.scratch(points.sparkSession)}/huge")
         if n := sizes.count():
@@ -203,6 +211,31 @@ def numbered(clustered: DataFrame, shot: str = "shot") -> DataFrame:
     return out.withColumn("label", F.when(F.col("cluster") < 0, F.lit(-1)).otherwise(F.col("_start") + F.col("cluster")).cast("long")).drop("_shot", "_start")
 
 
+def numbered_in_order(clustered: DataFrame, shot: str, order: list[str], huge: int = HUGE) -> DataFrame:
+    """``numbered``, with the rows in the order of shot (null last), label and ``order`` from partition to partition.
+
+    Spans of shots are dealt over tasks in their order, so rows are shuffled once and joined with nothing but the spans' first
+    numbers. With a shot of more than ``huge`` rows all columns are sorted over tasks instead, as a span would hold it whole."""
+    bounds = bounds_of(clustered, shot)
+    sizes = clustered.groupBy(shot).agg(F.coalesce(F.max("cluster") + 1, F.lit(0)).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    spans = spanned(sizes, shot, [], bounds).groupBy("_span").agg(F.sum("_n").alias("_n"), F.max("_rows").alias("_rows")).orderBy("_span").collect()
+    assert len(spans) <= SPANS + 1  # and one of nulls
+    if max((r["_rows"] for r in spans), default=0) > huge:
+        return numbered(clustered, shot).orderBy(shot, "label", *order)
+    ends = np.cumsum([r["_n"] for r in spans])
+    starts = clustered.sparkSession.createDataFrame([(r["_span"], int(e) - r["_n"]) for r, e in zip(spans, ends)], "_s int, _start long")
+    rows = spanned(clustered, shot, [], bounds).join(F.broadcast(starts), F.col("_span") == F.col("_s")).drop("_s")
+    tasks = max(1, min(SPANS, int(clustered.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.withColumn("_task", F.expr(f"cast(_span * {tasks} div {len(bounds) + 2} as int)")).repartitionById(tasks, "_task")
+    keys, by = ["_task", "_span"], [shot, "cluster", *order]
+    w = Window.partitionBy(*keys).orderBy(*by)  # as the rows are dealt and sorted, so it shuffles and sorts nothing
+    same = F.lag("cluster").over(w).eqNullSafe(F.col("cluster")) & F.lag(shot).over(w).eqNullSafe(F.col(shot))
+    rows = rows.sortWithinPartitions(*keys, *by).withColumn("_first", ((F.col("cluster") >= 0) & ~same).cast("long"))
+    count = F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("label", F.when(F.col("cluster") < 0, F.lit(-1)).otherwise(F.col("_start") + count - 1).cast("long"))
+    return rows.select(*clustered.columns, "label")
+
+
 class Cells:
     """Open clusters of a pass over hits in time order; ``add`` gives those that a hit closes, ``close`` the rest."""
 

@@ -46,17 +46,18 @@ def process_run(spark: SparkSession, folder: str, epsilon: float = 2.0, min_poin
     if made.exists() and not force:
         return {"run": run.folder.name, "path": str(made), "n_centroids": made.stat().st_size // packed.dtype("merged").itemsize, "made": False}
     knots = runs.read_corrections(spark, correction) if correction else None
-    triggers = run.triggers if packed.files_of(run.folder, "triggers") else run.events.select(F.col("t_trigger").alias("toa")).distinct()
+    events = run.rows("events")
+    triggers = run.rows("triggers") if packed.files_of(run.folder, "triggers") else events.select(F.col("t_trigger").alias("toa")).distinct()
     # Clustered once: centroids, numbers and the sorts of both files read it several times.
     at = f"{store.scratch(spark)}/labelled"
-    found = runs.labelled_run(run.events, epsilon, min_points, tof_threshold, knots, huge=cluster.HUGE)
+    found = runs.labelled_run(events, epsilon, min_points, tof_threshold, knots, huge=cluster.HUGE)
     found.write.parquet(at)
     found = spark.read.schema(found.schema).parquet(at)
     centroids = runs.centroids_of(found, triggers)
     _write(centroids.withColumn("shot_index", F.coalesce("shot_index", F.raise_error(F.lit("events whose trigger is in no trigger file")).cast("long"))), "merged", out, run.folder.name)
     if labels:
-        rows = cluster.numbered(found, "t_trigger").select(F.col("t_trigger").alias("shot"), "x", "y", F.col("tof_c").alias("tof"), "tot", "label")
-        _write(rows.orderBy("shot", "label", "x", "y", "tof", "tot"), "labels", out, run.folder.name)
+        rows = cluster.numbered_in_order(found, "t_trigger", ["x", "y", "tof_c", "tot"])
+        _write(rows.select(F.col("t_trigger").alias("shot"), "x", "y", F.col("tof_c").alias("tof"), "tot", "label"), "labels", out, run.folder.name)
     store.remove(spark, at)
     return {"run": run.folder.name, "path": str(made), "n_centroids": made.stat().st_size // packed.dtype("merged").itemsize, "made": True}
 

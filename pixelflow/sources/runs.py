@@ -39,10 +39,14 @@ class Run:
         self.meta = json.loads(meta[0].read_text()) if meta else {}
         self.tdc_id, self.edge = self.meta.get("tdc_id", tdc_id), self.meta.get("edge", edge)
 
+    def rows(self, kind: str) -> DataFrame:
+        """All rows of a kind, in no order."""
+        files = self.spark.read.format("packed").option("kind", kind).option("recursive", "false")
+        return (files if self.path.is_dir() else files.option("name", self.name)).load(str(self.folder))
+
     def table(self, kind: str, by: str) -> DataFrame:
         """All rows of a kind, in time order with the other fields as tie-breakers."""
-        files = self.spark.read.format("packed").option("kind", kind).option("recursive", "false")
-        rows = (files if self.path.is_dir() else files.option("name", self.name)).load(str(self.folder))
+        rows = self.rows(kind)
         return rows.orderBy(by, *(c for c in rows.columns if c != by))
 
     @property
